@@ -88,6 +88,8 @@ class Text:
     def n_repeat_words(self, k: int = 5) -> np.ndarray:
         """Words in windows of k words that their text has twice or more."""
         at, h = C.windows(self.owner, self.words, k)
+        if not len(at):
+            return np.zeros(self.n, np.int64)
         key = C.mix(h + self.owner[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         order = np.argsort(key, kind="stable")
         key = key[order]
