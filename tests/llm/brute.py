@@ -50,12 +50,12 @@ def contamination(docs, items, window=13):
     return out
 
 
-def near(docs):
+def near(docs, shingle=3, percent=85):
     """docs: (id, text). Per document: n_shingles, component_id, kept."""
     sets = []
     for _, t in docs:
         w = SPACE_WORD.findall((t or "").translate(LOW))
-        sets.append(frozenset(zip(w, w[1:], w[2:])) if len(w) >= 3 else frozenset([tuple(w)]) if w else frozenset())
+        sets.append(frozenset(zip(*(w[k:] for k in range(shingle)))) if len(w) >= shingle else frozenset([tuple(w)]) if w else frozenset())
     parent = list(range(len(docs)))
 
     def find(x):
@@ -70,7 +70,7 @@ def near(docs):
             shared.update(post[x])
             post[x].append(i)
         for j, n in shared.items():
-            if 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 parent[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(docs):
