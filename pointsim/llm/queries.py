@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near, quality, secrets, sharding, token_files, warc
+from . import decontaminate, mixing, near, quality, secrets, sharding, token_counts, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(_table(spark, sf_dir, "documents"), token_counts.revision(), token_counts.Rules(_tokenizer()))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(_table(spark, sf_dir, "documents"))
 
