@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near, quality, secrets, sharding, token_counts, token_files, warc
+from . import decontaminate, licenses, mixing, near, quality, secrets, sharding, token_counts, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(_table(spark, sf_dir, "documents"), token_counts.revision(), token_counts.Rules(_tokenizer()))
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.report(docs, licenses.fit(docs))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(_table(spark, sf_dir, "documents"))
 
