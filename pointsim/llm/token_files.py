@@ -168,16 +168,17 @@ def write(docs: DataFrame, path: str, form: Format) -> None:
         schema = pa.schema([("block", pa.binary())])
         offsets, at, ids, parts, size = [], 0, [], [], 0
         for batch in batches:
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids.append(i)
-                parts.append(made.encode(text.as_py()) + tail)
-                size += len(parts[-1]) // 4
-                if size >= form.block_ids:
-                    block = pack_block(ids, parts)
-                    offsets.append(at)
-                    at += len(block) + len(SEPARATOR)
-                    ids, parts, size = [], [], 0
-                    yield C.record(schema, [[block]])
+            for i, j in C.pieces(batch.column("text"), 1_000_000):
+                for k, own in zip(batch.column("doc_id")[i:j].to_pylist(), made.encode_many(batch.column("text")[i:j]), strict=True):
+                    ids.append(k)
+                    parts.append(own.astype("<u4", copy=False).tobytes() + tail)
+                    size += len(own) + 1
+                    if size >= form.block_ids:
+                        block = pack_block(ids, parts)
+                        offsets.append(at)
+                        at += len(block) + len(SEPARATOR)
+                        ids, parts, size = [], [], 0
+                        yield C.record(schema, [[block]])
         if parts:
             block = pack_block(ids, parts)
             offsets.append(at)

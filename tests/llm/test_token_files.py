@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from conftest import ODD
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,4 +46,13 @@ def test_round_trip(docs):
 @given(st.text(st.one_of(st.sampled_from(" \n\t'srelvmtd.,é<|endoftext|>0123"), st.characters(codec="utf-8")), max_size=60))
 def test_cached_ids_are_the_library_s(text):
     t = token_cache.encoder(PATH)
-    assert np.frombuffer(t.encode(text), "<u4").tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
+    assert t.encode(text).tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_small_cache_and_batches():
+    t = token_cache.Encoder(PATH, most=20)
+    texts = ["", None, "a  b\n\n c", " the cat's 12 hats!?", "Ünï × text", "  ", "one two  three ", "ɏɐ x", "<|endoftext|> y"] * 3
+    for _ in range(2):
+        for n in (1, 4, 27):
+            got = [x.tolist() for i in range(0, 27, n) for x in t.encode_many(pa.array(texts[i : i + n]))]
+            assert got == [t.tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts]
