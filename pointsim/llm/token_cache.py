@@ -8,7 +8,9 @@ with an apostrophe that may begin a contraction, goes to the library whole.
 
 from __future__ import annotations
 
+import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,10 @@ CLASS[65:91] = CLASS[97:123] = LETTER
 CLASS[128:192] = CLASS[0xC3:0xCA] = LETTER  # U+00C0 to U+024F, but for what odd() finds
 CONTRACTED = np.zeros(256, bool)
 CONTRACTED[list(b"strvmld")] = True
+#: The same rule for one string, contractions included, and the characters that it doesn't know.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
+RARE = re.compile(rf"[^\t\n\r\x20-\x7e{LETTERS}]")
 #: How the vocabulary writes a leading space.
 LEAD = "Ġ"
 
@@ -75,6 +81,22 @@ class Encoder:
         self.count = np.zeros(most, np.int32)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
+        self.seen: dict[str, int] = {}
+
+    def n_ids(self, word: str) -> int:
+        """Ids of one pre-token; at most ``most`` / 4 are remembered."""
+        n = self.seen.get(word)
+        if n is None:
+            n = len(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            if 4 * len(self.seen) < self.most:
+                self.seen[word] = n
+        return n
+
+    def words(self, text: str) -> Iterator[str]:
+        """Pre-tokens of one string of any characters, one by one."""
+        if RARE.search(text) is None:
+            return (m[0] for m in PRE_TOKEN.finditer(text))
+        return (text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
 
     def _library(self, text: str) -> np.ndarray:
         return np.frombuffer(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids), np.uint32)

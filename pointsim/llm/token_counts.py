@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .token_cache import Encoder, cuts, encoder, odd
+from .token_cache import Encoder, encoder, odd
 
 LEAF = 64
 #: Bytes of the characters that the cutting rule looks ahead, and more.
@@ -43,32 +43,13 @@ def _chars(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.diff(own[np.append(starts, len(raw))])
 
 
-def _library_cuts(made: Encoder, text: str) -> np.ndarray:
-    """Byte starts of the pre-tokens of any text."""
-    size = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])])
-    return size[[span[0] for _, span in made.tokenizer.pre_tokenizer.pre_tokenize_str(text)]]
-
-
-def starts_of(made: Encoder, data: bytes) -> np.ndarray:
-    """Byte starts of pre-tokens."""
-    raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.int64)
-    return _library_cuts(made, data.decode()) if len(odd(raw)) else cuts(raw, np.array([0, len(raw)]))
-
-
 def measured(made: Encoder, data: bytes) -> np.ndarray:
     """(pre-tokens, 3): bytes, characters and tokens."""
-    raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return np.zeros((0, 3), np.int64)
-    if len(odd(raw)):
-        starts = _library_cuts(made, data.decode())
-        edge = np.append(starts, len(raw)).tolist()
-        count = np.array([len(made.tokenizer.encode(data[a:b].decode(), add_special_tokens=False).ids) for a, b in zip(edge, edge[1:], strict=False)])
-    else:
-        starts, count, _ = made.pieces(raw, np.array([0, len(raw)]))
-    return np.stack([np.diff(np.append(starts, len(raw))), _chars(raw, starts), count], 1)
+    return _rows([(len(w.encode()), len(w), made.n_ids(w)) for w in made.words(data.decode())])
+
+
+def _rows(rows: list[tuple[int, int, int]]) -> np.ndarray:
+    return np.array(rows, np.int64).reshape(-1, 3)
 
 
 class Tree:
@@ -127,18 +108,20 @@ class Tree:
         (a, at_a), (b, at_b) = self.locate(start), self.locate(end)
         # left: the last boundary whose pre-token before ends well before the edit
         while True:
-            edge = np.concatenate([[0], np.cumsum(self.rows[a][:, BYTES])])
-            ok = np.flatnonzero(edge[1:] + AHEAD <= at_a)
-            if len(ok) or a == 0:
-                keep = int(ok[-1]) + 1 if len(ok) else 0
+            keep, first, edge = 0, 0, 0
+            for k, n in enumerate(self.rows[a][:, BYTES].tolist()):
+                edge += n
+                if edge + AHEAD > at_a:
+                    break
+                keep, first = k + 1, edge
+            if keep or a == 0:
                 break
             a -= 1
             at_a += len(self.data[a])
-        first = int(edge[keep])
         # right: leaf b and as many more as it takes for a new boundary to meet an old one
         last, fresh = b, new.encode()
         while True:
-            old = np.concatenate(self.rows[a : last + 1])[keep:]
+            old = np.concatenate(self.rows[a : last + 1])[keep:] if last > a else self.rows[a][keep:]
             data = b"".join(self.data[a : last + 1])[first:]
             lo = at_a - first
             hi = sum(len(x) for x in self.data[a:b]) + at_b - first
@@ -146,34 +129,41 @@ class Tree:
             while len(after) < AHEAD and k < len(self.data):
                 after += self.data[k][: AHEAD + 4]
                 k += 1
-            cut = len(after) if k >= len(self.data) and len(after) <= AHEAD else AHEAD
+            cut = min(len(after), AHEAD)
             while cut < len(after) and after[cut] & 0xC0 == 0x80:
                 cut += 1
             window = data[:lo] + fresh + data[hi:]
             shift = len(window) - len(data)
-            starts = starts_of(made, window + after[:cut])
-            edge = np.concatenate([[0], np.cumsum(old[:, BYTES])])
-            behind = edge[edge >= hi]
-            met = behind[np.isin(behind + shift, starts) & (behind + shift < len(window) + (1 if after else 0))]
-            if len(met):
-                stop = int(met[0])
-                break
-            if not after:
-                stop = len(data)
+            edges = np.cumsum(old[:, BYTES]).tolist()
+            place = {n: i + 1 for i, n in enumerate(edges) if n >= hi}
+            if hi == 0:
+                place[0] = 0
+            # the start of what comes after is a boundary that can be met, as long as there is text to see behind it
+            own: list[tuple[int, int, int]] = []
+            at, met = 0, place.get(-shift) if shift == 0 and hi == 0 else None
+            if met is None:
+                for w in made.words((window + after[:cut]).decode()):
+                    n = len(w.encode())
+                    at += n
+                    own.append((n, len(w), made.n_ids(w)))
+                    if at > len(window) or (at == len(window) and not after):
+                        break
+                    met = place.get(at - shift)
+                    if met is not None:
+                        break
+            if met is not None or not after:
                 break
             last += 1
-        own = window[: stop + shift]
-        rest = old[int(np.searchsorted(edge, stop)) :]
-        middle = measured(made, own)
-        self.encoded += int(middle[:, CHARS].sum())
-        rows = np.concatenate([self.rows[a][:keep], middle, rest])
-        head = self.data[a][:first]
+        if met is None:
+            met = len(old)
+        self.encoded += sum(c for _, c, _ in own)
+        rows = np.concatenate([self.rows[a][:keep], _rows(own), old[met:]])
+        whole = self.data[a][:first] + window
         if len(rows) > 4 * LEAF:
-            before, behind_ = b"".join(self.data[:a]), b"".join(self.data[last + 1 :])
             every = np.concatenate([*self.rows[:a], rows, *self.rows[last + 1 :]])
-            self._build(before + head + own + data[stop:] + behind_, every)
+            self._build(b"".join([*self.data[:a], whole, *self.data[last + 1 :]]), every)
             return
-        self.data[a], self.rows[a] = head + own + data[stop:], rows
+        self.data[a], self.rows[a] = whole, rows
         for k in range(a + 1, last + 1):
             self.data[k], self.rows[k] = b"", rows[:0]
         for k in range(a, last + 1):
