@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cell, floor_l2, l2_squared
@@ -32,13 +33,11 @@ def _index(points: DataFrame, k: int, *more: Column) -> DataFrame:
 
 
 def _nearest(pairs: DataFrame, by: list[str], k: int) -> DataFrame:
-    """The first k points of each group, counting copies: rows with rank and taken."""
-    from pyspark.sql import Window as W
-
-    order = [F.asc("distance"), F.asc("cloud_id"), F.asc("x"), F.asc("y")]
+    """The first k points of each group, counting copies: rows with rank and taken. Rows without a point come last."""
+    order = [F.asc_nulls_last("distance"), F.asc("cloud_id"), F.asc("x"), F.asc("y")]
     ranked = top(pairs, by, order, k)
     before = F.sum("cnt").over(W.partitionBy(*by).orderBy("rank").rowsBetween(W.unboundedPreceding, 0)) - F.col("cnt")
-    return ranked.withColumn("taken", F.least(F.col("cnt"), F.lit(k) - before)).where("taken > 0")
+    return ranked.withColumn("taken", F.least(F.col("cnt"), F.lit(k) - before)).where("taken > 0 or taken is null")
 
 
 # ---------------------------------------------------------------- own cell
@@ -73,7 +72,7 @@ def point_knn(points: DataFrame, qpoints: DataFrame, internal_k: int, metric: st
     metric ``l2`` (distance is its square) or ``floor_l2`` (whole numbers). Strategies:
 
     * ``grid``: a query point meets the points of the 3 x 3 cells around it. It is done if its last neighbour is nearer than
-      the border of those cells; the others go on with cells of twice the side, until the cells hold everything.
+      the border of those cells; the others go on with cells of four times the side, until the cells hold everything.
     * ``vantage``: the same over the distances from two vantage points instead of coordinates, which bounds any metric.
     * ``clusters``: points belong to the nearest of m centres; a query point first meets its own cluster, then all whose
       covering radius may hold a nearer point.
@@ -103,15 +102,12 @@ def point_knn(points: DataFrame, qpoints: DataFrame, internal_k: int, metric: st
     while True:
         last = side >= reach
         found = materialize(_round(index, left, internal_k, measure, metric, coordinates, side, last), "knn-round")
-        sure = found.where("sure and rank is not null").drop("sure")
+        sure = found.where("sure and cloud_id is not null").drop("sure")
         done = sure if done is None else done.unionByName(sure)
-        if last:
-            return done
         left = found.where("not sure").select(QUERY).distinct()
-        if left.isEmpty():
+        if last or left.isEmpty():
             return done
-        left = materialize(left, "knn-left")
-        side *= 2
+        side *= 4
 
 
 def _empty(query: DataFrame, index: DataFrame, measure: PointMetric) -> DataFrame:
@@ -133,12 +129,13 @@ def _round(index: DataFrame, left: DataFrame, k: int, measure: PointMetric, metr
     query = query.withColumn("bound", F.least(*edges) * F.lit(SAFE))
     around = lambda c: F.explode(F.sequence(whole(F.col(c)) - 1, whole(F.col(c)) + 1))
     dealt = query.withColumn("ca", around("__a")).withColumn("cb", around("__b"))
-    pairs = dealt.join(cells, ["ca", "cb"]).withColumn("distance", measure(F.col("qx"), F.col("qy"), F.col("x"), F.col("y")))
+    # a query point without any candidate keeps a row, to go on
+    pairs = dealt.join(cells, ["ca", "cb"], "left").withColumn("distance", measure(F.col("qx"), F.col("qy"), F.col("x"), F.col("y")))
     near = _nearest(pairs, QUERY, k)
     limit = F.col("bound") * F.col("bound") if metric == "l2" else F.floor("bound")
-    whole_k = near.groupBy(QUERY).agg((F.lit(last) | ((F.sum("taken") >= k) & (F.max("distance") < F.max(limit)))).alias("sure"))
-    state = left.join(whole_k, QUERY, "left").withColumn("sure", F.coalesce("sure", F.lit(last)))
-    return state.join(near.select(*QUERY, "rank", "cloud_id", "x", "y", "distance", "taken"), QUERY, "left")
+    own = W.partitionBy(*QUERY)
+    sure = F.lit(last) | F.coalesce((F.sum("taken").over(own) >= k) & (F.max("distance").over(own) < limit), F.lit(False))
+    return near.withColumn("sure", sure).select(*QUERY, "rank", "cloud_id", "x", "y", "distance", "taken", "sure")
 
 
 def cluster_centres(points: DataFrame, m: int) -> list[tuple[float, float]]:
@@ -164,10 +161,13 @@ def covering_radii(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("centre").agg(F.max("distance").alias("radius"), F.count("*").alias("members"))
 
 
-def _cluster_knn(index: DataFrame, query: DataFrame, k: int, measure: PointMetric, metric: str, m: int = 96) -> DataFrame:
-    centres = cluster_centres(index, m)
-    if not centres:
+def _cluster_knn(index: DataFrame, query: DataFrame, k: int, measure: PointMetric, metric: str, most: int = 1024) -> DataFrame:
+    index = materialize(index, "knn-index")
+    n = index.count()
+    if not n:
         return _empty(query, index, measure)
+    # so many clusters that assigning points and searching clusters cost alike, within what a literal array should hold
+    centres = cluster_centres(index, min(most, max(8, 2 * math.isqrt(n))))
     members = materialize(assign_centres(index, centres).withColumnRenamed("distance", "__own"), "knn-clusters")
     radii = {r.centre: r.radius for r in members.groupBy("centre").agg(F.max("__own").alias("radius")).collect()}  # m rows at most
     index = members.drop("__own")
