@@ -31,22 +31,27 @@ def inner_products(index: DataFrame, query: DataFrame) -> DataFrame:
 
 
 def _first_disjoint(sizes: DataFrame, pairs: DataFrame, queries: DataFrame, k: int, order: list) -> DataFrame:
-    """(query_id, cloud_id, n): clouds without a shared cell, at least the first k of them in ``order`` for each query.
+    """(query_id, cloud_id, n): the first k clouds in ``order`` that share no cell with the query.
 
-    A list of the first T clouds serves all queries, if each finds k disjoint ones in it; else T is doubled.
+    A list of the first T clouds, ranked, serves all queries if each finds k disjoint ones in it; else T is doubled. The i-th
+    cloud of the list that a query does share cells with, at rank r, has r - i disjoint ones before it; so the j-th disjoint one has
+    rank j plus the number of shared ones with r - i < j. Each query makes k rows, whatever T is.
     """
     t, total = 2 * k, sizes.count()
     while True:
-        head = materialize(sizes.orderBy(*order).limit(t), "set-head")
-        hit = pairs.join(head.select("cloud_id"), "cloud_id").groupBy("query_id").agg(F.count("*").alias("__hit"))
-        if t >= total or hit.where(F.col("__hit") > t - k).isEmpty():
+        head = sizes.orderBy(*order).limit(t).withColumn("rank", F.row_number().over(W.orderBy(*order)))
+        head = materialize(head, "set-head")
+        hits = pairs.join(head.select("cloud_id", "rank"), "cloud_id").select("query_id", "rank")
+        hits = hits.withColumn("before", F.col("rank") - F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
+        steps = materialize(hits.groupBy("query_id", "before").agg(F.count("*").alias("cnt")), "set-steps")
+        if t >= total or steps.groupBy("query_id").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") > t - k).isEmpty():
             break
         t *= 2
-    # t rows, k and the few that a query shares cells with among the first: far fewer than all clouds
-    every = queries.select("query_id").withColumn("__one", F.lit(1)).join(head.withColumn("__one", F.lit(1)), "__one").drop("__one")
-    fill = every.join(pairs.select("query_id", "cloud_id"), ["query_id", "cloud_id"], "left_anti")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
-    return fill.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
+    own = steps.where(F.col("before") < k).groupBy("query_id").agg(F.collect_list(F.struct("before", "cnt")).alias("steps"))
+    shift = lambda j: F.aggregate(F.filter("steps", lambda s: s["before"] < j), F.lit(0).cast("bigint"), lambda acc, s: acc + s["cnt"])
+    ranks = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: j + F.coalesce(shift(j), F.lit(0)))
+    wanted = queries.select("query_id").join(own, "query_id", "left").select("query_id", F.explode(ranks).alias("rank"))
+    return wanted.join(head, "rank").select("query_id", "cloud_id", "n")
 
 
 def set_distances(points: DataFrame, qpoints: DataFrame, grid: GridParams, metric: str | SetMetric) -> DataFrame:

@@ -15,12 +15,12 @@ def recall(ranked: DataFrame, queries: DataFrame, at: list[int], k: int | None =
         raise ValueError("recall beyond the number of answers would repeat the last one")
     if denominator not in ("all", "answered"):
         raise ValueError("denominator must be all or answered")
-    base = (queries if denominator == "all" else ranked).select("query_id").distinct().agg(F.count("*").alias("n"))
+    asked = (queries if denominator == "all" else ranked).select("query_id").distinct()
     hits = ranked.where("cloud_id = query_id").groupBy("query_id").agg(F.min("rank").alias("rank"))
-    counts = hits.agg(*(F.coalesce(F.sum((F.col("rank") <= a).cast("bigint")), F.lit(0)).alias(f"h{a}") for a in at))
-    both = counts.crossJoin(base)  # one row each
-    pairs = F.array(*(F.struct(F.lit(a).cast("bigint").alias("k"), (F.col(f"h{a}") / F.greatest("n", F.lit(1))).alias("recall")) for a in at))
-    return both.select(F.explode(pairs).alias("p")).select("p.k", "p.recall")
+    both = asked.join(hits, "query_id", "left")
+    found = [F.coalesce(F.avg(F.coalesce((F.col("rank") <= a).cast("double"), F.lit(0.0))), F.lit(0.0)) for a in at]
+    pairs = F.array(*(F.struct(F.lit(a).cast("bigint").alias("k"), f.alias("recall")) for a, f in zip(at, found, strict=True)))
+    return both.agg(pairs.alias("p")).select(F.explode("p").alias("p")).select("p.k", "p.recall")
 
 
 def time_stats(times: DataFrame, column: str) -> DataFrame:

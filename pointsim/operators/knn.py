@@ -66,7 +66,7 @@ def _vantage(extent: tuple[float, float, float, float]):
     return coordinates
 
 
-def point_knn(points: DataFrame, qpoints: DataFrame, internal_k: int, metric: str = "l2", strategy: str = "grid", cell_points: int = 4) -> DataFrame:
+def point_knn(points: DataFrame, qpoints: DataFrame, internal_k: int, metric: str = "l2", strategy: str = "grid", cell_points: float = 0.1) -> DataFrame:
     """The internal_k nearest of all indexed points, exactly: (query_id, qx, qy, weight, rank, cloud_id, x, y, distance, taken).
 
     metric ``l2`` (distance is its square) or ``floor_l2`` (whole numbers). Strategies:
@@ -74,8 +74,11 @@ def point_knn(points: DataFrame, qpoints: DataFrame, internal_k: int, metric: st
     * ``grid``: a query point meets the points of the 3 x 3 cells around it. It is done if its last neighbour is nearer than
       the border of those cells; the others go on with cells of four times the side, until the cells hold everything.
     * ``vantage``: the same over the distances from two vantage points instead of coordinates, which bounds any metric.
-    * ``clusters``: points belong to the nearest of m centres; a query point first meets its own cluster, then all whose
-      covering radius may hold a nearer point.
+    * ``clusters``: points belong to the nearest of m centres, and to a ring around it; a query point first meets the rings
+      near its own, then all rings that may hold a nearer point.
+
+    ``cell_points``: how many times internal_k points the first cells hold on average. They are small, for dense places; each
+    further round costs little, as few query points are left.
     """
     check_k(internal_k)
     if metric not in ("l2", "floor_l2"):
@@ -111,7 +114,7 @@ def point_knn(points: DataFrame, qpoints: DataFrame, internal_k: int, metric: st
 
 
 def _empty(query: DataFrame, index: DataFrame, measure: PointMetric) -> DataFrame:
-    none = query.limit(0).crossJoin(index.limit(0)).withColumn("distance", measure(F.col("qx"), F.col("qy"), F.col("x"), F.col("y")))
+    none = query.withColumn("__k", F.lit(0)).join(index.withColumn("__k", F.lit(0)), "__k").where(F.lit(False)).withColumn("distance", measure(F.col("qx"), F.col("qy"), F.col("x"), F.col("y")))
     return none.select(*QUERY, F.lit(1).cast("bigint").alias("rank"), "cloud_id", "x", "y", "distance", F.col("cnt").alias("taken"))
 
 
@@ -144,10 +147,11 @@ def cluster_centres(points: DataFrame, m: int) -> list[tuple[float, float]]:
     return [(r.x, r.y) for r in rows]
 
 
-def centre_distances(centres: list[tuple[float, float]], x: Column, y: Column) -> Column:
-    """(squared distance, number) of every centre, in an array of known length."""
-    literal = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k).alias("centre")) for k, (a, b) in enumerate(centres)))
-    return F.transform(literal, lambda c: F.struct(l2_squared(c["a"], c["b"], x, y).alias("d2"), c["centre"].alias("centre")))
+def centre_distances(centres: list[tuple[float, float]], x: Column, y: Column, radii: list[float] | None = None) -> Column:
+    """(squared distance, number, radius) of every centre, in an array of known length."""
+    parts = zip(centres, radii or [0.0] * len(centres), strict=True)
+    literal = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k).alias("centre"), F.lit(float(r)).alias("radius")) for k, ((a, b), r) in enumerate(parts)))
+    return F.transform(literal, lambda c: F.struct(l2_squared(c["a"], c["b"], x, y).alias("d2"), c["centre"].alias("centre"), c["radius"].alias("radius")))
 
 
 def assign_centres(points: DataFrame, centres: list[tuple[float, float]]) -> DataFrame:
@@ -167,21 +171,26 @@ def _cluster_knn(index: DataFrame, query: DataFrame, k: int, measure: PointMetri
     if not n:
         return _empty(query, index, measure)
     # so many clusters that assigning points and searching clusters cost alike, within what a literal array should hold
-    centres = cluster_centres(index, min(most, max(8, 2 * math.isqrt(n))))
+    centres = cluster_centres(index, min(most, max(8, math.isqrt(n))))
     members = materialize(assign_centres(index, centres).withColumnRenamed("distance", "__own"), "knn-clusters")
-    radii = {r.centre: r.radius for r in members.groupBy("centre").agg(F.max("__own").alias("radius")).collect()}  # m rows at most
-    index = members.drop("__own")
-    to = centre_distances(centres, F.col("qx"), F.col("qy"))
-    first = query.withColumn("centre", F.array_min(to)["centre"].cast("bigint"))
+    radii = {r.centre: r.radius for r in members.groupBy("centre").agg(F.max("__own").alias("radius")).collect()}  # a row a centre
+    width = max(sum(radii.values()) / len(radii) / 8, 1e-6)
+    ring = lambda c: F.floor(c / F.lit(width)).cast("bigint")
+    index = members.withColumn("ring", ring(F.col("__own"))).drop("__own")
+    to = F.transform(centre_distances(centres, F.col("qx"), F.col("qy"), [radii.get(i, -1.0) for i in range(len(centres))]), lambda c: F.struct(F.sqrt(c["d2"]).alias("d"), c["centre"].alias("centre"), c["radius"].alias("radius")))
     measured = lambda df: df.withColumn("distance", measure(F.col("qx"), F.col("qy"), F.col("x"), F.col("y")))
-    near = _nearest(measured(first.join(index, "centre")), QUERY, k)
+    first = query.withColumn("__to", F.array_min(to)).withColumn("centre", F.col("__to.centre").cast("bigint")).withColumn("__d", F.col("__to.d")).drop("__to")
+    first = first.withColumn("ring", F.explode(F.sequence(ring(F.col("__d")) - 1, ring(F.col("__d")) + 1))).drop("__d")
+    near = _nearest(measured(first.join(index, ["centre", "ring"])), QUERY, k)
     tau = near.groupBy(QUERY).agg(F.when(F.sum("taken") >= k, F.max("distance")).alias("__tau"))
-    # a cluster is met if its covering ball may hold a point as near as the last one so far; floors reach up to 1 further
+    # as far as the last one so far: in a nearer point's cluster, distances to the centre differ by no more; floors reach up to 1 further
     reach = F.sqrt("__tau") if metric == "l2" else F.col("__tau") + 1
-    radius = F.array(*(F.lit(float(radii.get(i, -math.inf))) for i in range(len(centres))))
-    met = F.filter(to, lambda c: F.coalesce(F.sqrt(c["d2"]) * F.lit(SAFE) <= F.element_at(radius, c["centre"] + 1) + reach, F.element_at(radius, c["centre"] + 1) >= 0))
-    spread = query.join(tau, QUERY, "left").withColumn("centre", F.explode(F.transform(met, lambda c: c["centre"].cast("bigint")))).drop("__tau")
-    return _nearest(measured(spread.join(index, "centre")), QUERY, k).select(*QUERY, "rank", "cloud_id", "x", "y", "distance", "taken")
+    reach = F.coalesce(reach * F.lit(1 / SAFE) + F.lit(1e-6), F.lit(1e300))
+    rings = F.transform(to, lambda c: F.struct(c["centre"].cast("bigint").alias("centre"), ring(F.greatest(c["d"] - F.col("__reach"), F.lit(0.0))).alias("lo"), ring(F.least(c["d"] + F.col("__reach"), c["radius"])).alias("hi"), c["radius"].alias("radius")))
+    rings = F.filter(rings, lambda c: (c["radius"] >= 0) & (c["lo"] <= c["hi"]))
+    spread = query.join(tau, QUERY, "left").withColumn("__reach", reach).select(*QUERY, F.explode(rings).alias("__c"))
+    spread = spread.select(*QUERY, F.col("__c.centre").alias("centre"), F.explode(F.sequence("__c.lo", "__c.hi")).alias("ring"))
+    return _nearest(measured(spread.join(index, ["centre", "ring"])), QUERY, k).select(*QUERY, "rank", "cloud_id", "x", "y", "distance", "taken")
 
 
 def knn_votes(neighbours: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ KINDS = {
     "rtree": "Point neighbours, grid plan",
     "vpt": "Point neighbours, vantage plan",
     "bkt": "Point neighbours, whole-number distance",
-    "revlc": "Point neighbours, cluster plan",
+    "revlc": "Point neighbours",
     "grid_rtree": "Cell neighbours",
     "grid_vpt": "Cell neighbours, any metric",
     "fingerprint": "Constellation fingerprints",
@@ -63,12 +63,16 @@ class PerformanceReport:
 
 
 class CloudIndex:
-    """An index of clouds. ``points``: (cloud_id, x, y); queries: (query_id, x, y)."""
+    """An index of clouds. ``points``: (cloud_id, x, y); queries: (query_id, x, y).
 
-    def __init__(self, kind: str, points: DataFrame, grid: GridParams = GridParams(), prints: FingerprintParams = FingerprintParams(), internal_k: int = 1, metric: PointMetric | None = None, index_zone: str = "closed", query_zone: str = "open", literal_last_skip: bool = False):
+    All neighbour kinds answer alike under one metric; ``plan`` (grid, vantage, clusters) overrides how.
+    """
+
+    def __init__(self, kind: str, points: DataFrame, grid: GridParams = GridParams(), prints: FingerprintParams = FingerprintParams(), internal_k: int = 1, metric: PointMetric | None = None, index_zone: str = "closed", query_zone: str = "open", literal_last_skip: bool = False, plan: str | None = None):
         if kind not in KINDS:
             raise ValueError(f"kind must be one of {sorted(KINDS)}")
         self.kind, self.grid, self.prints, self.internal_k = kind, grid, prints, check_k(internal_k)
+        self.plan = plan
         self.metric, self.index_zone, self.query_zone, self.literal_last_skip = metric, index_zone, query_zone, literal_last_skip
         self.table = materialize(self._built(points), f"index-{kind}")
 
@@ -108,7 +112,7 @@ class CloudIndex:
             return knn_votes(cell_knn(self.table, queries, self.grid, self.internal_k, self.metric or l2_squared))
         if self.kind.startswith("set_"):
             raise ValueError("sets are ranked by distance, not votes")
-        plan = {"rtree": "grid", "vpt": "vantage", "bkt": "grid", "revlc": "clusters"}[self.kind]
+        plan = self.plan or {"rtree": "grid", "vpt": "vantage", "bkt": "grid", "revlc": "grid"}[self.kind]
         metric = "floor_l2" if self.kind == "bkt" or self.metric is floor_l2 else "l2"
         return knn_votes(point_knn(self.table, queries, self.internal_k, metric, plan))
 

@@ -349,6 +349,11 @@ def revlc_knn_top5(spark, sf):
     return CloudIndex("revlc", ev(spark, sf), internal_k=3).knn(far(spark, sf), 5)
 
 
+@query(_neighbours(3, "l2") + " " + _NEIGHBOUR_ROWS)
+def point_knn_clusters(spark, sf):
+    return _neighbour_rows(knn.point_knn(ev(spark, sf), far(spark, sf), 3, strategy="clusters"))
+
+
 @query(f"{_neighbours(1, 'l2')}, {_top(10)} {_recall()}")
 def rtree_recall(spark, sf):
     queries = far(spark, sf)
