@@ -1,10 +1,11 @@
-"""What the operators share: the shared folder, Arrow buffers as numpy arrays, words, spread joins."""
+"""What the operators share: Python on executors, Arrow buffers as numpy arrays, words, hashes."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,31 +13,29 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK = (1 << 64) - 1
+from ..storage import Scratch, materialize, shared_dir, shared_path  # noqa: F401  (for the operators)
 
+# ---------------------------------------------------------------- Python on executors
+_shipped: set[str] = set()
 
-# ---------------------------------------------------------------- shared folder
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in local mode one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
-        base = tempfile.mkdtemp(prefix="pointsim-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
 
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that they need no copy of it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    held = Path(tempfile.mkdtemp(prefix="pointsim-")) / "pointsim_package.zip"  # on the driver, which serves it
+    with zipfile.ZipFile(held, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, f"{root.name}/{file.relative_to(root)}")
+    context.addPyFile(str(held))
+    _shipped.add(context.applicationId)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- numpy views
@@ -143,15 +142,11 @@ def windows(owner: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray,
     return at, mix(h[at])
 
 
-def with_columns(batch: pa.RecordBatch, keep: np.ndarray) -> pa.RecordBatch:
-    return batch.filter(pa.array(keep))
-
-
 def record(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
 
-# ---------------------------------------------------------------- spread joins
+# ---------------------------------------------------------------- hashes in SQL
 def hash60(*parts: Column) -> Column:
     """A 60-bit hash that SQL engines with md5 can repeat: the first 15 hex digits of md5."""
     return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 15), 16, 10).cast("bigint")

@@ -216,7 +216,7 @@ def report(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> Dat
                 place = [best.get(k) for k in range(n)]
                 yield C.record(schema, [ids[i : i + n], f.n_words, f.n_hit, [len(f.items.get(k, ())) for k in range(n)], digest, f.contaminated, [x[0] if x else 0 for x in place], [-x[1] if x else None for x in place], [x[2] if x else None for x in place]])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, columns)
+    return C.map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, columns)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -232,7 +232,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> Da
                     owner, *rest = map(list, zip(*f.matches, strict=True))
                     yield C.record(schema, [ids.take(pa.array([i + k for k in owner])), *rest])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id string, doc_word long, item_word long, n_words long")
+    return C.map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id long, item_id string, doc_word long, item_word long, n_words long")
 
 
 def filtered(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -244,4 +244,4 @@ def filtered(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> D
             if batch.num_rows:
                 yield batch.filter(pa.array(~np.concatenate([f.contaminated for _, f in shards(batch.column("text"), blocks, rules)])))
 
-    return docs.mapInArrow(run, docs.schema)
+    return C.map_arrow(docs, run, docs.schema)

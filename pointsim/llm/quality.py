@@ -34,7 +34,7 @@ class Rules:
 
     min_words: int = 10
     max_repeat_percent: int = 20
-    threshold: float = 0.2
+    threshold: float = 0.05
     max_rows: int = 2400
     seed: int = 7
     rounds: int = 80
@@ -243,7 +243,7 @@ def score(docs: DataFrame, model: Model | None, rules: Rules = Rules()) -> DataF
             if batch.num_rows:
                 yield C.record(schema, [batch.column("doc_id"), *_scored(batch, held.value, rules)])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {COLUMNS}")
+    return C.map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, f"doc_id long, {COLUMNS}")
 
 
 def filtered(docs: DataFrame, model: Model | None, rules: Rules = Rules()) -> DataFrame:
@@ -255,4 +255,4 @@ def filtered(docs: DataFrame, model: Model | None, rules: Rules = Rules()) -> Da
             if batch.num_rows:
                 yield batch.filter(pa.array(_scored(batch, held.value, rules)[-1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return C.map_arrow(docs, run, docs.schema)

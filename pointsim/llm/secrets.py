@@ -283,4 +283,4 @@ def find(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 yield C.record(schema, [ids[i:j], *(list(c) for c in zip(*out, strict=True))])
 
     columns = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, nested string, n_layers long, refused long"
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, columns)
+    return C.map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, columns)

@@ -231,7 +231,7 @@ def build(docs: DataFrame, rules: Rules) -> DataFrame:
                 own = trees(made, text[i:j])
                 yield C.record(schema, [ids[i:j], text[i:j], [t.tokens for t in own], [t.dump() for t in own]])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string, n_tokens long, tree binary")
+    return C.map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id long, text string, n_tokens long, tree binary")
 
 
 def update(built: DataFrame, edits: Column, rules: Rules) -> DataFrame:
@@ -249,7 +249,7 @@ def update(built: DataFrame, edits: Column, rules: Rules) -> DataFrame:
                     out.append((t.text().decode(), t.tokens, t.dump(), t.encoded))
                 yield C.record(schema, [batch.column("doc_id")[i:j], *(list(c) for c in zip(*out, strict=True))])
 
-    return built.select("doc_id", "text", "tree", edits.cast(EDITS).alias("__edits")).mapInArrow(run, "doc_id long, text string, n_tokens long, tree binary, n_encoded long")
+    return C.map_arrow(built.select("doc_id", "text", "tree", edits.cast(EDITS).alias("__edits")), run, "doc_id long, text string, n_tokens long, tree binary, n_encoded long")
 
 
 def counts(docs: DataFrame, edits: Column, rules: Rules) -> DataFrame:
@@ -268,7 +268,7 @@ def counts(docs: DataFrame, edits: Column, rules: Rules) -> DataFrame:
                     out.append((*before, _apply(made, tree, e), tree.chars, tree.tokens, tree.encoded))
                 yield C.record(schema, [ids[i:j], *(list(c) for c in zip(*out, strict=True))])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", edits.cast(EDITS).alias("__edits")).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in names))
+    return C.map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", edits.cast(EDITS).alias("__edits")), run, "doc_id long, " + ", ".join(f"{k} long" for k in names))
 
 
 def revision(text: str = "text") -> Column:

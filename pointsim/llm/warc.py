@@ -210,7 +210,7 @@ def write(pages: DataFrame, path: str, rules: Rules = Rules()) -> None:
                     out.append(member(make_record(page_id, url, (html or "").encode(), digest, refers_to), rules.level))
                 yield C.record(schema, [out])
 
-    members = plan(pages, rules).mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
+    members = C.map_arrow(plan(pages, rules), run, "member binary").select(F.col("member").cast("string").alias("value"))
     members.write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", rules.records_per_file).text(path)
 
 
@@ -265,7 +265,7 @@ def scan(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
                     yield C.record(schema, [list(c) for c in zip(*rows, strict=True)])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).select("path", "content")
-    return files.mapInArrow(run, COLUMNS)
+    return C.map_arrow(files, run, COLUMNS)
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
