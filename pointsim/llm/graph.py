@@ -5,32 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("a") % 1000003)).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """No node has two smaller neighbours, and none is both below one node and above another."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    count = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return count.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, held: Scratch) -> DataFrame:
     """edges: a, b (long). Per node with an edge to a smaller one: node, component (the smallest node reachable).
 
-    A hub's edges are dealt by AQE's skew join and its minimum is taken before the shuffle; no
-    task gathers a group. Loops and repeated edges are ignored.
+    The result is a table of ``held``. A hub's minimum is taken before the shuffle; no task gathers a group. Loops and
+    repeated edges are ignored.
     """
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = _mark(edges)
-    while True:
+    edges = held.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while not _are_stars(edges):
         # large star: larger neighbours of u go to the smallest of u and its neighbours
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         edges = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        edges = materialize(edges, "edges")
+        edges = held.put(edges, "edges")
         # small star: smaller neighbours of u, and u, go to the smallest of them
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         near = edges.join(least, "a")
         edges = near.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(near.select("a", F.col("m").alias("b")))
-        edges = materialize(edges.where("a <> b").distinct(), "edges")
-        last, mark = mark, _mark(edges)
-        if mark == last:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        edges = held.put(edges.where("a <> b").distinct(), "edges")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

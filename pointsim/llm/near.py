@@ -42,7 +42,8 @@ class Rules:
     seed: int = 11
     chunk: int = 256  # nodes of a large family that a task compares at a time
     chunk_bytes: int = 16_000_000
-    pivots: int = 1024
+    pivots: int = 2048  # of a large family in a round, or an eighth of what waits, within pivot_bytes of text
+    pivot_bytes: int = 32_000_000
 
     @property
     def bands(self) -> int:
@@ -128,7 +129,7 @@ def signatures(docs: DataFrame, rules: Rules) -> DataFrame:
                 yield C.record(schema, [ids[i:j], nids[i:j], s.size, s.keys(), pa.ListArray.from_arrays(edge, bands.ravel().view(np.int64))])
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), node_id().alias("nid"), "text")
-    return own.mapInArrow(run, "doc_id long, nid long, n_shingles long, set_key binary, bands array<long>")
+    return C.map_arrow(own, run, "doc_id long, nid long, n_shingles long, set_key binary, bands array<long>")
 
 
 # ---------------------------------------------------------------- links
@@ -227,97 +228,106 @@ def small_families(members: DataFrame, rules: Rules) -> DataFrame:
             yield C.record(schema, [nodes, [least[union.find(k)] for k in range(len(nodes))]])
 
     dealt = members.repartition("family").sortWithinPartitions("family")
-    return dealt.mapInArrow(run, "node long, component long")
+    return C.map_arrow(dealt, run, "node long, component long")
 
 
-def large_families(members: DataFrame, rules: Rules) -> DataFrame:
-    """members: family, chunks, node, set_key, text of families of several chunks. Links that span each component: a, b."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("covered", pa.bool_()), ("open", pa.bool_())])
+def large_families(members: DataFrame, rules: Rules, held: C.Scratch) -> DataFrame:
+    """members: family, chunks, node, set_key, text of families of several chunks. Links that span each component: a, b.
+
+    A node's label is a node of its component, as far as is known. A node is covered if a pivot links it, and open if a pivot
+    that isn't known to be of its component is so near that something between could link them; nodes that are open or not
+    covered wait to be pivots themselves.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("label", pa.int64()), ("covered", pa.bool_()), ("open", pa.bool_())])
 
     def run(batches):
         for _, rows in _groups(batches, ("family", "salt")):
-            at, sets = _own_rows({k: [v[i] for i in range(len(v)) if rows["pivot"][i]] for k, v in rows.items()}, rules.shingle)
-            pivots = [x for x in zip(*(rows[k] for k in ("node", "cls", "pivot")), strict=True) if x[2]]
-            pivots = [pivots[k] for k in at]
-            docs = {k: [v[i] for i in range(len(v)) if not rows["pivot"][i]] for k, v in rows.items()}
+            is_pivot = rows["pivot"]
+            pivots, docs = ({k: [x for x, p in zip(v, is_pivot, strict=True) if p is want] for k, v in rows.items()} for want in (True, False))
+            at, sets = _own_rows(pivots, rules.shingle)
             own, own_sets = _own_rows(docs, rules.shingle)
-            index, n = Pivots(sets), len(pivots)
+            names, labels = [pivots["node"][k] for k in at], [pivots["label"][k] for k in at] + [docs["label"][k] for k in own]
+            index, n = Pivots(sets), len(at)
             union = Union(n + len(own))
             seen: dict[int, int] = {}
-            for k, c in enumerate([p[1] for p in pivots] + [docs["cls"][i] for i in own]):
-                union.join(seen.setdefault(c, k), k)
-            place = {p[0]: k for k, p in enumerate(pivots)}
+            for k, label in enumerate(labels):
+                union.join(seen.setdefault(label, k), k)
+            place = {node: k for k, node in enumerate(names)}
             a, b, covered, near = [], [], [], []
             for k, i in enumerate(own):
                 node = docs["node"][i]
                 if node in place:
                     union.join(place[node], n + k)
                 link, close = index.at_least(own_sets[k], rules.percent)
-                link = [j for j in link.tolist() if pivots[j][0] != node]
+                link = [j for j in link.tolist() if names[j] != node]
                 for j in link:
                     if union.join(n + k, j):
                         a.append(node)
-                        b.append(pivots[j][0])
-                covered.append(bool(link))
-                near.append(close)
+                        b.append(names[j])
+                covered.append(docs["covered"][i] or bool(link))
+                near.append(close.tolist())
+            least: dict[int, int] = {}
+            for k, label in enumerate(labels):
+                root = union.find(k)
+                least[root] = min(label, least.get(root, label))
             flag = []
             for k, i in enumerate(own):
                 done = docs["done"][i] or docs["node"][i] in place
-                flag.append(not done and ((not covered[k] and not docs["covered"][i]) or docs["open"][i] or any(union.find(j) != union.find(n + k) for j in near[k].tolist())))
-            nodes = [docs["node"][i] for i in own]
-            yield C.record(schema, [a + nodes, b + [None] * len(nodes), [None] * len(a) + [c or docs["covered"][i] for c, i in zip(covered, own, strict=True)], [None] * len(a) + flag])
+                flag.append(not done and (not covered[k] or docs["open"][i] or any(union.find(j) != union.find(n + k) for j in near[k])))
+            nodes, none = [docs["node"][i] for i in own], [None] * len(a)
+            yield C.record(schema, [a + nodes, b + [None] * len(nodes), none + [least[union.find(n + k)] for k in range(len(own))], none + covered, none + flag])
 
-    state = members.select("node", "family", F.col("node").alias("cls"), F.lit(False).alias("covered"), F.lit(False).alias("open"), F.lit(False).alias("done"))
     members = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    state = members.select("node", "family", F.octet_length("text").cast("bigint").alias("bytes"), F.col("node").alias("label"), F.lit(False).alias("covered"), F.lit(True).alias("open"), F.lit(False).alias("done"))
     links, rounds = None, 0
-    waiting = state.select("node", "family")
     while True:
         rounds += 1
-        left = waiting.groupBy("family").agg(F.count("*").alias("n"))
-        most = F.greatest(F.lit(rules.pivots), F.col("n") / 8)
+        waiting = state.where("open and not done").select("node", "family", "bytes")
+        left = waiting.groupBy("family").agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes"))
+        most = F.least(F.greatest(F.lit(rules.pivots), F.col("n") / 8), F.greatest(F.lit(rules.pivot_bytes) * F.col("n") / F.greatest("all_bytes", F.lit(1)), F.lit(1.0)))
         draw = F.pmod(F.xxhash64("node", F.lit(rounds)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-        chosen = C.materialize(waiting.join(F.broadcast(left) if rounds < 0 else left, "family").where(draw < most / F.col("n")).select("node", F.lit(True).alias("chosen")), "pivots")
-        rows = members.join(state.drop("family"), "node").join(chosen, "node", "left")
-        spread = rows.where("chosen").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-        names = ["family", "salt", "pivot", "node", "set_key", "text", "cls", "covered", "open", "done"]
-        both = rows.withColumn("pivot", F.lit(False)).select(names).unionByName(spread.withColumn("pivot", F.lit(True)).select(names))
-        out = C.materialize(both.repartition("family", "salt").sortWithinPartitions("family", "salt").mapInArrow(run, "a long, b long, covered boolean, open boolean"), "round")
+        chosen = waiting.join(left, "family").where(draw < most / F.col("n")).select("node", F.lit(True).alias("pivot"))
+        state = held.put(state.join(chosen, "node", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False))).withColumn("open", F.col("open") & F.lit(rounds > 1)), "state")
+        rows = members.join(state.drop("family"), "node")
+        names = ["family", "salt", "pivot", "node", "set_key", "text", "label", "covered", "open", "done"]
+        # each row as a document of its chunk, and each pivot once more for every chunk
+        salts = F.when(F.col("pivot"), F.concat(F.array(F.lit(-1).cast("bigint")), F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).otherwise(F.array(F.lit(-1).cast("bigint")))
+        both = rows.withColumn("__to", F.explode(salts)).withColumn("pivot", F.col("__to") >= 0).withColumn("salt", F.when(F.col("__to") >= 0, F.col("__to")).otherwise(F.col("salt"))).select(names)
+        dealt = both.repartition("family", "salt").sortWithinPartitions("family", "salt")
+        out = held.put(C.map_arrow(dealt, run, "a long, b long, label long, covered boolean, open boolean"), "round")
         fresh = out.where("b is not null").select("a", "b")
         links = fresh if links is None else links.unionByName(fresh)
-        found = out.where("b is null").select(F.col("a").alias("node"), F.col("covered").alias("__covered"), F.col("open").alias("__open"))
-        if found.where("__open").isEmpty():
+        found = out.where("b is null").select(F.col("a").alias("node"), "label", "covered", "open")
+        if found.where("open").isEmpty():
             return links
-        classes = components(links).select("node", F.col("component").alias("__cls"))
-        state = C.materialize(
-            state.join(found, "node").join(chosen, "node", "left").join(classes, "node", "left").select(
-                "node", "family", F.coalesce("__cls", "node").alias("cls"), F.col("__covered").alias("covered"), F.col("__open").alias("open"), (F.col("done") | F.coalesce("chosen", F.lit(False))).alias("done")
-            ),
-            "state",
-        )
-        waiting = state.where("open and not done").select("node", "family")
+        state = state.select("node", "family", "bytes", (F.col("done") | F.col("pivot")).alias("done")).join(found, "node")
 
 
 # ---------------------------------------------------------------- operator
 def classes(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Per row of docs: doc_id, nid, n_shingles, component_id, kept."""
-    rows = C.materialize(signatures(docs, rules), "signatures")
+    """Per row of docs: doc_id, nid, n_shingles, component_id, kept. A written table; what led to it is removed."""
+    with C.Scratch(docs.sparkSession) as held:
+        return C.materialize(_classes(docs, rules, held), "classes")
+
+
+def _classes(docs: DataFrame, rules: Rules, held: C.Scratch) -> DataFrame:
+    rows = held.put(signatures(docs, rules), "signatures")
     # equal sets are one node; first() is the same for all of them
-    nodes = C.materialize(rows.where("set_key is not null").groupBy("set_key").agg(F.min("nid").alias("node"), F.first("bands").alias("bands")), "nodes")
+    nodes = held.put(rows.where("set_key is not null").groupBy("set_key").agg(F.min("nid").alias("node"), F.first("bands").alias("bands")), "nodes")
     bands = nodes.select("node", F.explode("bands").alias("band"))
     stars = bands.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     ties = bands.join(stars, "band").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    family = components(ties)
+    family = components(ties, held)
     family = family.unionByName(family.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("component", "family")
-    # texts of family members only: the one time that texts are shuffled
     texts = docs.select(node_id().alias("node"), "text")
-    members = C.materialize(family.join(nodes.select("node", "set_key"), "node").join(texts, "node").select("family", "node", "set_key", "text"), "members")
+    members = held.put(family.join(nodes.select("node", "set_key"), "node").join(texts, "node").select("family", "node", "set_key", "text"), "members")
     sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / rules.chunk), F.ceil(F.sum(F.octet_length("text")) / rules.chunk_bytes)).cast("bigint").alias("chunks"))
-    sizes = C.materialize(sizes.where("chunks > 1"), "large")
+    sizes = held.put(sizes.where("chunks > 1"), "large")
     if sizes.isEmpty():
         linked = small_families(members, rules)
     else:
         linked = small_families(members.join(sizes, "family", "left_anti"), rules)
-        linked = linked.unionByName(components(large_families(members.join(sizes, "family"), rules)))
+        linked = linked.unionByName(components(large_families(members.join(sizes, "family"), rules, held), held))
     linked = linked.where("node <> component")
     named = nodes.select("set_key", "node").join(linked, "node", "left").select(F.col("set_key").alias("__key"), F.coalesce("component", "node").alias("component"))
     out = rows.drop("bands").join(named, F.col("set_key") == F.col("__key"), "left").withColumn("component", F.coalesce("component", "nid"))
@@ -327,8 +337,11 @@ def classes(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def filtered(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One document of each component, with all columns of docs; of rows of one doc_id, one."""
-    found = C.materialize(classes(docs, rules).select("nid", "kept"), "kept")
+    found = classes(docs, rules)
     kept = found.where("kept").groupBy("nid").agg((F.count("*") > 1).alias("__again")).withColumnRenamed("nid", "__nid")
-    rows = docs.withColumn("__own", node_id()).join(kept, F.col("__own") == F.col("__nid")).drop("__nid")
+    # ids grow with the documents: merged at every size, never broadcast
+    rows = docs.withColumn("__own", node_id()).join(kept.hint("merge"), F.col("__own") == F.col("__nid"))
+    if kept.where("__again").isEmpty():
+        return rows.select(docs.columns)
     again = rows.where("__again").groupBy("__own").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
     return rows.where("not __again").select(docs.columns).unionByName(again)

@@ -1,6 +1,7 @@
 import random
 
 import brute
+import pytest
 from conftest import ODD
 
 from pointsim.llm import near as N
@@ -29,8 +30,9 @@ def family(n, seed, words=120):
     return out + [(n + k, " ".join(f"y{draw.randrange(9999)}" for _ in range(40))) for k in range(20)]
 
 
-def test_large_family_in_chunks_and_rounds(spark):
-    rows = family(160, 3)
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_large_family_in_chunks_and_rounds(spark, seed):
+    rows = family(160, seed)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for rules in (RULES, N.Rules(shingle=3, percent=85, chunk=16, pivots=12)):
         assert result(N.classes(df, rules)) == sorted(brute.near(rows))
