@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -33,9 +34,28 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task should hold little."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow, with the package at hand and memory given back after each batch."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def fed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            give_back()
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(fed(batches))
+        give_back()
+
+    return df.mapInArrow(lean, schema)
 
 
 # ---------------------------------------------------------------- numpy views
@@ -52,7 +72,7 @@ def utf8(column: pa.Array, end: str = " ") -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def pieces(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes of text; a longer text is a range of its own."""
     n = len(column)
     if not n:

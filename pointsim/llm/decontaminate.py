@@ -35,7 +35,7 @@ WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 class Rules:
     window: int = 13
     min_percent: int = 5  # contaminated: 100 * n_hit >= min_percent * n_words
-    shard_bytes: int = 4_000_000
+    shard_bytes: int = 2_000_000
     block_bytes: int = 16_000_000
 
 
@@ -245,3 +245,19 @@ def filtered(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> D
                 yield batch.filter(pa.array(~np.concatenate([f.contaminated for _, f in shards(batch.column("text"), blocks, rules)])))
 
     return C.map_arrow(docs, run, docs.schema)
+
+
+#: The report's first columns in SQL: all windows of items against all windows of documents.
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE = rf"""
+WITH i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, least(13, len(w)) AS k, unnest([w[p:p + least(13, len(w)) - 1] for p in range(1, len(w) - least(13, len(w)) + 2)]) AS win FROM i WHERE len(w) > 0),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+dw AS (SELECT r, p, k, w[p:p + k - 1] AS win FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d JOIN (SELECT DISTINCT k FROM iw) ON len(w) >= k)),
+hit AS (SELECT r, p, dw.k, item FROM dw JOIN iw ON dw.win = iw.win),
+n AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT r, p, k FROM hit)) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS own FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(own, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN items ON d.r = items.r
+"""

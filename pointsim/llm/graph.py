@@ -23,10 +23,10 @@ def components(edges: DataFrame, held: Scratch) -> DataFrame:
     """
     edges = held.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while not _are_stars(edges):
-        # large star: larger neighbours of u go to the smallest of u and its neighbours
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        edges = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # large star: u's larger neighbours go to the smallest of u and its neighbours. The minima are written, so that Spark
+        # can deal a hub's edges to several tasks of the join
+        least = held.put(edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "least")
+        edges = edges.join(least, F.col("b") == F.col("u"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         edges = held.put(edges, "edges")
         # small star: smaller neighbours of u, and u, go to the smallest of them
         least = edges.groupBy("a").agg(F.min("b").alias("m"))

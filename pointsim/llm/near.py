@@ -320,7 +320,8 @@ def _classes(docs: DataFrame, rules: Rules, held: C.Scratch) -> DataFrame:
     family = components(ties, held)
     family = family.unionByName(family.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("component", "family")
     texts = docs.select(node_id().alias("node"), "text")
-    members = held.put(family.join(nodes.select("node", "set_key"), "node").join(texts, "node").select("family", "node", "set_key", "text"), "members")
+    family = family.join(nodes.select("node", "set_key"), "node").hint("shuffle_hash")
+    members = held.put(texts.join(family, "node").select("family", "node", "set_key", "text"), "members")
     sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / rules.chunk), F.ceil(F.sum(F.octet_length("text")) / rules.chunk_bytes)).cast("bigint").alias("chunks"))
     sizes = held.put(sizes.where("chunks > 1"), "large")
     if sizes.isEmpty():
@@ -339,9 +340,24 @@ def filtered(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One document of each component, with all columns of docs; of rows of one doc_id, one."""
     found = classes(docs, rules)
     kept = found.where("kept").groupBy("nid").agg((F.count("*") > 1).alias("__again")).withColumnRenamed("nid", "__nid")
-    # ids grow with the documents: merged at every size, never broadcast
-    rows = docs.withColumn("__own", node_id()).join(kept.hint("merge"), F.col("__own") == F.col("__nid"))
+    # ids grow with the documents: hashed by partition at every size, never broadcast; texts aren't sorted
+    rows = docs.withColumn("__own", node_id()).join(kept.hint("shuffle_hash"), F.col("__own") == F.col("__nid"))
     if kept.where("__again").isEmpty():
         return rows.select(docs.columns)
     again = rows.where("__again").groupBy("__own").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
     return rows.where("not __again").select(docs.columns).unionByName(again)
+
+
+#: The classes by 3 words and 0.85 in SQL: shared shingles of all pairs, and what is reachable by links.
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [w[p:p + 2] for p in range(1, len(w) - 1)] WHEN len(w) > 0 THEN [w] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY x, y),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * shared >= 85 * (nx.n + ny.n - shared)),
+links AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(doc, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT y, c FROM r JOIN links ON doc = x),
+least AS (SELECT doc, min(c) AS c FROM r GROUP BY doc)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c::BIGINT AS component_id, d.doc_id = c AS kept FROM d JOIN least ON d.doc_id = doc LEFT JOIN n ON n.doc_id = d.doc_id
+"""

@@ -52,7 +52,8 @@ def op7_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing_sources": mixing.ORACLE, "op5_warc": warc.ORACLE}
+    return {
+        "op4_mixing_sources": mixing.ORACLE,
+        "op5_warc": warc.ORACLE,
+        "op8_benchmark_decontamination": decontaminate.ORACLE,
+        "op10_minhash_near_dedup": near.ORACLE,
+    }
