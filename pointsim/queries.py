@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cell, floor_l2, l2
-from .operators import cellsets, evaluate, fingerprints, intersect, knn, postings, ranking, voting
+from .operators import cellsets, evaluate, fingerprints, intersect, knn, postings, voting
 from .params import FingerprintParams, GridParams
 from .plans import CloudIndex
 from .sources import clouds_from_events, clouds_from_lineitem, disturbed, jittered, load_postings, read_clouds_csv, save_postings, write_clouds_csv
+from .sources.clouds import within
 from .storage import shared_path
 from .streaming import append_postings, read_postings
 
@@ -166,8 +167,6 @@ def cloud_sizes(spark, sf):
 
 @query(f"WITH {_EV} SELECT * FROM ev WHERE x BETWEEN 1000 AND 9000 AND y BETWEEN 1000 AND 9000")
 def bounds_filter(spark, sf):
-    from .sources.clouds import within
-
     return ev(spark, sf).where(within((1000, 9000)))
 
 
@@ -296,10 +295,10 @@ def streaming_postings(spark, sf):
 
 # ---------------------------------------------------------------- neighbours
 def _neighbour_rows(found: DataFrame) -> DataFrame:
-    return found.groupBy("query_id", "qx", "qy", "cloud_id", "distance").agg(F.sum(F.col("weight") * F.col("taken") / F.col("weight")).cast("bigint").alias("taken"))
+    return found.groupBy("query_id", "qx", "qy", "cloud_id", "distance").agg(F.sum("taken").alias("taken"))
 
 
-@query(_neighbours(3, "l2", GRID) + _NEIGHBOUR_ROWS.replace("SELECT", " SELECT", 1))
+@query(_neighbours(3, "l2", GRID) + " " + _NEIGHBOUR_ROWS)
 def cell_knn_l2(spark, sf):
     return _neighbour_rows(knn.cell_knn(ev(spark, sf), far(spark, sf), GRID, 3))
 
