@@ -64,7 +64,7 @@ def cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit integers; keeps at most ``most`` pre-tokens."""
 
-    def __init__(self, path: str, most: int = 600_000, plain_special: bool = False):
+    def __init__(self, path: str, most: int = 400_000, plain_special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -168,7 +168,7 @@ def write(docs: DataFrame, path: str, form: Format) -> None:
         schema = pa.schema([("block", pa.binary())])
         offsets, at, ids, parts, size = [], 0, [], [], 0
         for batch in batches:
-            for i, j in C.pieces(batch.column("text"), 1_000_000):
+            for i, j in C.pieces(batch.column("text"), 500_000):
                 for k, own in zip(batch.column("doc_id")[i:j].to_pylist(), made.encode_many(batch.column("text")[i:j]), strict=True):
                     ids.append(k)
                     parts.append(own.astype("<u4", copy=False).tobytes() + tail)
@@ -190,7 +190,7 @@ def write(docs: DataFrame, path: str, form: Format) -> None:
     tie = F.xxhash64("text")
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("__tie", tie)
     own = own.repartitionByRange("doc_id", "__tie").sortWithinPartitions("doc_id", "__tie").drop("__tie")
-    blocks = own.mapInArrow(run, "block binary")
+    blocks = C.map_arrow(own, run, "block binary")
     blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode()).text(path)
 
 
@@ -215,20 +215,35 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     offset += block.n_ids
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, place long, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    return C.map_arrow(files, run, "file string, place long, doc_id long, offset long, n_tokens long, ids_crc32 long")
 
 
-def index(read_back: DataFrame) -> DataFrame:
-    """Adds start: ids of all documents before, over all files in order. One row a file is summed up in order."""
-    files = read_back.groupBy("file").agg(F.sum("n_tokens").alias("__n"))
-    before = F.sum("__n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1))
-    files = files.select(F.col("file").alias("__file"), F.coalesce(before, F.lit(0)).alias("__before"))
-    return read_back.join(files, F.col("file") == F.col("__file")).select("doc_id", (F.col("__before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", F.regexp_extract("file", "(part-[0-9]+)", 1).alias("file"), "place")
+def file_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, ids) of each token file, from its blocks' heads."""
+    schema = pa.schema([("file", pa.string()), ("ids", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            sizes = [sum(block.n_ids for block in file_blocks(content.as_buffer())) for content in batch.column("content")]
+            yield C.record(schema, [batch.column("path"), sizes])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    return C.map_arrow(files, run, "file string, ids long")
+
+
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """Per document of the files in ``path``, in order: doc_id, start (ids of all documents before), n_tokens, ids_crc32, file, place.
+
+    One row a file is summed up in order; documents add their offset within the file.
+    """
+    before = F.sum("ids").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1))
+    files = file_sizes(spark, path).select(F.col("file").alias("__file"), F.coalesce(before, F.lit(0)).alias("__before"))
+    own = read(spark, path).join(files, F.col("file") == F.col("__file"))
+    return own.select("doc_id", (F.col("__before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", F.regexp_extract("file", "(part-[0-9]+)", 1).alias("file"), "place")
 
 
 def encode(docs: DataFrame, form: Format) -> DataFrame:
     """Write docs as token files in the shared folder and read them back."""
-    spark = docs.sparkSession
-    path = C.shared_path(spark, "tokens")
+    path = C.shared_path(docs.sparkSession, "tokens")
     write(docs, path, form)
-    return index(C.materialize(read(spark, path), "token-index"))
+    return index(docs.sparkSession, path)
