@@ -3,8 +3,9 @@
 A worklist per document: the text is the first layer. Each layer is scanned by the three kinds of pattern, and
 unwrapped: percent escapes, Unicode escapes (\\uXXXX, \\UXXXXXXXX, \\xXX, &#N;) and runs of base64 whose bytes
 are text, or gzip, zlib, bz2 or xz data of text, give new layers, until none is new. A layer whose text was seen
-before is not scanned again, which ends cycles. Every character of a layer maps to the characters of the
-document that it came from, and so does every secret found in it.
+at the same place of the document is not taken again, which ends cycles; equal texts at several places are a layer
+each. Every character of a layer maps to the characters of the document that it came from, and so does every secret
+found in it.
 
 Defined results: a null or empty text has no secrets; repeated rows are scanned alike. Compressed data that
 would unpack to more than ``most_unpacked`` characters is not unpacked; ``refused`` counts such data.
@@ -72,6 +73,10 @@ class Layer:
     def __init__(self, text: str, first: np.ndarray, last: np.ndarray, how: str):
         self.text, self.first, self.last, self.how = text, first, last, how
 
+    def place(self) -> tuple[str, int, int]:
+        """Its text and where it stands in the document."""
+        return self.text, *((int(self.first[0]), int(self.last[-1])) if self.text else (0, 0))
+
     def span(self, start: int, end: int) -> tuple[int, int]:
         return int(self.first[start:end].min()), int(self.last[start:end].max())
 
@@ -160,7 +165,8 @@ def unwrapped(run: str, rules: Rules) -> tuple[str, str] | None:
     return text and (text, "base64" if inside is None else "packed")
 
 
-def _base64(layer: Layer, rules: Rules) -> tuple[list[Layer], int]:
+def _base64(layer: Layer, rules: Rules, known: dict) -> tuple[list[Layer], int]:
+    """known: what runs of the document hold, so that copies of a run are unwrapped once."""
     out, refused = [], 0
     for m in BASE64.finditer(layer.text):
         tries = [m.span()]
@@ -168,9 +174,14 @@ def _base64(layer: Layer, rules: Rules) -> tuple[list[Layer], int]:
             tries += [(m.start() + p.start(), m.start() + p.end()) for p in PARTS.finditer(m[0])]
             tries += [(m.start() + p.end(), m.end()) for p in re.finditer(r"[/_-]", m[0]) if m.end() - m.start() - p.end() >= rules.least_run]
         for a, b in dict.fromkeys(tries):
-            try:
-                got = unwrapped(layer.text[a:b], rules)
-            except Refused:
+            run = layer.text[a:b]
+            if run not in known:
+                try:
+                    known[run] = unwrapped(run, rules)
+                except Refused:
+                    known[run] = Refused
+            got = known[run]
+            if got is Refused:
                 refused += 1
                 continue
             if not got:
@@ -184,28 +195,28 @@ def _base64(layer: Layer, rules: Rules) -> tuple[list[Layer], int]:
                 out.append(Layer(text, layer.first[lo], layer.last[hi - 1], how))
             else:
                 n = len(text)
-                out.append(Layer(text, np.full(n, layer.first[a]), np.full(n, layer.last[b - 1]), how))
+                out.append(Layer(text, np.broadcast_to(layer.first[a], n), np.broadcast_to(layer.last[b - 1], n), how))
             break
     return out, refused
 
 
 def layers(text: str, rules: Rules):
-    """The layers below a text, each once; last the number of refused ones."""
+    """The layers below a text, each once for each place; last the number of refused ones."""
     at = np.arange(len(text))
     work = [Layer(text, at, at + 1, "text")]
-    seen = {text}
-    refused = 0
+    seen = {work[0].place()}
+    refused, known = 0, {}
     while work:
         layer = work.pop()
-        below, bad = _base64(layer, rules)
+        below, bad = _base64(layer, rules, known)
         refused += bad
         if "%" in layer.text:
             below.append(_rewritten(layer, PERCENT, _percent, "url"))
         if "\\" in layer.text or "&#" in layer.text:
             below.append(_rewritten(layer, UNICODE, _unicode, "unicode"))
         for x in below:
-            if x is not None and x.text not in seen:
-                seen.add(x.text)
+            if x is not None and x.place() not in seen:
+                seen.add(x.place())
                 yield x
                 work.append(x)
     yield refused
@@ -213,13 +224,15 @@ def layers(text: str, rules: Rules):
 
 def nested(text: str, rules: Rules = Rules()) -> tuple[list[tuple[int, int, int]], int, int]:
     """Secrets of the layers below, as spans of the text; number of layers; refused ones."""
-    found, n, refused = [], 0, 0
+    found, n, refused, scans = [], 0, 0, {}
     for layer in layers(text, rules):
         if isinstance(layer, int):
             refused = layer
             continue
         n += 1
-        for start, kind, end in scan(layer.text):
+        if layer.text not in scans:
+            scans[layer.text] = scan(layer.text)
+        for start, kind, end in scans[layer.text]:
             a, b = layer.span(start, end)
             found.append((a, kind, b))
     return found, n, refused

@@ -80,3 +80,12 @@ def test_exact_spans_cycles_and_refusal(spark):
     df = spark.createDataFrame([(1, f"see {packed(KEY)} ok"), (2, "path/" + base64.b64encode(b"token=abcdefgh1234").decode())], "doc_id long, text string")
     one, two = sorted(S.find(df).collect(), key=lambda r: r.doc_id)
     assert one.nested.startswith("access:4:") and one.spans == one.nested and two.nested.startswith("assign:")
+
+
+def test_copies_are_reported_at_every_place():
+    for wrapped in (WRAPS["base64"](KEY), packed(KEY), WRAPS["base64"]("see " + packed(KEY))):
+        text = f"a {wrapped} b\nc {wrapped} d\n{wrapped}"
+        found, n, refused = S.nested(text)
+        places = [m.start() for m in re.finditer(re.escape(wrapped), text)]
+        assert len(places) == 3 and all(any(a >= p and b <= p + len(wrapped) for a, _, b in found) for p in places)
+        assert len(set(found)) == 3 and not refused
