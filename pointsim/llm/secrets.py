@@ -20,6 +20,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +40,7 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(?:[xX]([0-9A-Fa-f]{1,6})|([0-9]{1,7}));")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}")
-PARTS = re.compile(r"[A-Za-z0-9+]{16,}|[A-Za-z0-9]{16,}")
+PARTS = (re.compile(r"[A-Za-z0-9+/]{16,}"), re.compile(r"[A-Za-z0-9_-]{16,}"), re.compile(r"[A-Za-z0-9+]{16,}"), re.compile(r"[A-Za-z0-9]{16,}"))
 BASE64_BYTES = np.zeros(256, bool)
 BASE64_BYTES[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = True
 HEX_BYTES = np.zeros(256, bool)
@@ -124,8 +125,8 @@ class Refused(ValueError):
     """Data that would unpack to too much."""
 
 
-def _inflate(data: bytes, most: int) -> bytes | None:
-    """Content of compressed bytes, by their magic numbers."""
+def _inflate(data: bytes, most: int) -> tuple[bytes, int] | None:
+    """Content of compressed bytes, by their magic numbers, and how many they are."""
     if data[:2] == b"\x1f\x8b":
         opened = zlib.decompressobj(31)
     elif data[:1] == b"\x78" and len(data) > 1 and int.from_bytes(data[:2], "big") % 31 == 0:
@@ -142,7 +143,7 @@ def _inflate(data: bytes, most: int) -> bytes | None:
         return None
     if len(out) > most:
         raise Refused
-    return out if opened.eof else None
+    return (out, len(data) - len(opened.unused_data)) if opened.eof else None
 
 
 def plain_bytes(run: str) -> bytes | None:
@@ -155,48 +156,83 @@ def plain_bytes(run: str) -> bytes | None:
         return None
 
 
-def unwrapped(run: str, rules: Rules) -> tuple[str, str] | None:
-    """Text in a base64 run, and how it was wrapped."""
+def unwrapped(run: str, rules: Rules) -> tuple[str, str, int] | None:
+    """Text in a base64 run, how it was wrapped, and how many characters of the run hold it."""
     data = plain_bytes(run)
     if data is None:
         return None
     inside = _inflate(data, rules.most_unpacked)
-    text = _as_text(data if inside is None else inside)
-    return text and (text, "base64" if inside is None else "packed")
+    if inside is None:
+        text = _as_text(data)
+        return text and (text, "base64", len(run))
+    text = _as_text(inside[0])
+    return text and (text, "packed", -(-inside[1] * 4 // 3))
+
+
+def _candidates(run: str, rules: Rules) -> list[tuple[int, int]]:
+    """Spans of a run that may be a value of their own, the longest first: all of it; between the separators that one of the
+    alphabets lacks; before and after each separator."""
+    spans = {(0, len(run))}
+    if re.search(r"[/_-]", run):  # paths, names or other values beside it
+        cuts = [p.start() for p in re.finditer(r"[/_-]", run)]
+        spans.update(p.span() for parts in PARTS for p in parts.finditer(run))
+        spans.update((k + 1, len(run)) for k in cuts)
+        spans.update((0, k) for k in cuts)
+    return sorted((s for s in spans if s[1] - s[0] >= rules.least_run), key=lambda s: (s[0] - s[1], s[0]))
+
+
+class Free:
+    """Places of a run that no decoded value has taken."""
+
+    def __init__(self):
+        self.starts, self.ends = [], []
+
+    def has(self, a: int, b: int) -> bool:
+        k = bisect_left(self.ends, a + 1)
+        return k == len(self.starts) or self.starts[k] >= b
+
+    def take(self, a: int, b: int) -> None:
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+
+def _value(layer: Layer, run: str, at: np.ndarray, rules: Rules, known: dict) -> tuple[Layer, int] | type[Refused] | None:
+    """The layer in a run of base64 whose characters stand at ``at``, and how many it takes; known: what runs of the document hold."""
+    if run not in known:
+        try:
+            known[run] = unwrapped(run, rules)
+        except Refused:
+            known[run] = Refused
+    got = known[run]
+    if not got or got is Refused:
+        return got or None
+    text, how, used = got
+    if how == "base64":
+        size = np.array([len(c.encode()) for c in text])
+        end = np.cumsum(size)
+        lo = (end - size) // 3 * 4
+        hi = np.minimum(-(-end // 3) * 4, len(run))
+        return Layer(text, layer.first[at[lo]], layer.last[at[hi - 1]], how), used
+    n = len(text)
+    return Layer(text, np.broadcast_to(layer.first[at[0]], n), np.broadcast_to(layer.last[at[used - 1]], n), how), used
 
 
 def _base64(layer: Layer, rules: Rules, known: dict) -> tuple[list[Layer], int]:
-    """known: what runs of the document hold, so that copies of a run are unwrapped once."""
+    """Layers of all runs, of each the values that don't overlap."""
     out, refused = [], 0
     for m in BASE64.finditer(layer.text):
-        tries = [m.span()]
-        if re.search(r"[/_-]", m[0]):  # a path or name before the run
-            tries += [(m.start() + p.start(), m.start() + p.end()) for p in PARTS.finditer(m[0])]
-            tries += [(m.start() + p.end(), m.end()) for p in re.finditer(r"[/_-]", m[0]) if m.end() - m.start() - p.end() >= rules.least_run]
-        for a, b in dict.fromkeys(tries):
-            run = layer.text[a:b]
-            if run not in known:
-                try:
-                    known[run] = unwrapped(run, rules)
-                except Refused:
-                    known[run] = Refused
-            got = known[run]
+        free = Free()
+        for a, b in _candidates(m[0], rules):
+            if not free.has(a, b):
+                continue
+            got = _value(layer, m[0][a:b], np.arange(m.start() + a, m.start() + b), rules, known)
             if got is Refused:
                 refused += 1
-                continue
-            if not got:
-                continue
-            text, how = got
-            if how == "base64":
-                size = np.array([len(c.encode()) for c in text])
-                end = np.cumsum(size)
-                lo = a + (end - size) // 3 * 4
-                hi = np.minimum(a + -(-end // 3) * 4, b)
-                out.append(Layer(text, layer.first[lo], layer.last[hi - 1], how))
-            else:
-                n = len(text)
-                out.append(Layer(text, np.broadcast_to(layer.first[a], n), np.broadcast_to(layer.last[b - 1], n), how))
-            break
+                free.take(a, a + 1)  # what follows it may be a value
+            elif got:
+                out.append(got[0])
+                free.take(a, a + got[1])
     return out, refused
 
 

@@ -89,3 +89,14 @@ def test_copies_are_reported_at_every_place():
         places = [m.start() for m in re.finditer(re.escape(wrapped), text)]
         assert len(places) == 3 and all(any(a >= p and b <= p + len(wrapped) for a, _, b in found) for p in places)
         assert len(set(found)) == 3 and not refused
+
+
+def test_all_values_of_a_run_are_unwrapped():
+    one, two, three = (base64.b64encode(s.encode()).decode() for s in ("token=abcdefgh1234 x", f"my key {KEY}", "see abcdef0123456789 ok"))
+    one, two, three = one.rstrip("="), two.rstrip("="), three.rstrip("=")
+    beside = base64.urlsafe_b64encode(gzip.compress(KEY.encode(), mtime=0)).decode().rstrip("=")
+    assert {1, 2} == {k for _, k, _ in S.nested(f"{beside}_{three}")[0]}
+    for sign in "_/-":
+        text = f"at path/{one}{sign}{two}{sign}{three}{sign}name"
+        found = S.nested(text)[0]
+        assert {(0, one), (1, two), (2, three)} <= {(k, x) for a, k, b in found for x in (one, two, three) if text.index(x) <= a < b <= text.index(x) + len(x)}
