@@ -5,7 +5,8 @@ unwrapped: percent escapes, Unicode escapes (\\uXXXX, \\UXXXXXXXX, \\xXX, &#N;)
 are text, or gzip, zlib, bz2 or xz data of text, give new layers, until none is new. A layer whose text was seen
 at the same place of the document is not taken again, which ends cycles; equal texts at several places are a layer
 each. Every character of a layer maps to the characters of the document that it came from, and so does every secret
-found in it.
+found in it. Neighbouring lines of base64 are unwrapped joined, and each line alone as well: it may be a value of
+its own. Quote marks or comment signs before the lines are not passed over.
 
 Defined results: a null or empty text has no secrets; repeated rows are scanned alike. Compressed data that
 would unpack to more than ``most_unpacked`` characters is not unpacked; ``refused`` counts such data.
@@ -40,6 +41,8 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(?:[xX]([0-9A-Fa-f]{1,6})|([0-9]{1,7}));")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}")
+LINE_BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+")
 PARTS = (re.compile(r"[A-Za-z0-9+/]{16,}"), re.compile(r"[A-Za-z0-9_-]{16,}"), re.compile(r"[A-Za-z0-9+]{16,}"), re.compile(r"[A-Za-z0-9]{16,}"))
 BASE64_BYTES = np.zeros(256, bool)
 BASE64_BYTES[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = True
@@ -218,9 +221,53 @@ def _value(layer: Layer, run: str, at: np.ndarray, rules: Rules, known: dict) ->
     return Layer(text, np.broadcast_to(layer.first[at[0]], n), np.broadcast_to(layer.last[at[used - 1]], n), how), used
 
 
-def _base64(layer: Layer, rules: Rules, known: dict) -> tuple[list[Layer], int]:
-    """Layers of all runs, of each the values that don't overlap."""
+def _blocks(lines: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of lines that may be one wrapped value, the longest first: all, all but the first or last, and lines of one width
+    with the shorter one that ends them, or without it."""
+    n = len(lines)
+    found = {(0, n), (0, n - 1), (1, n), (1, n - 1)}
+    width = [b - a for a, b in lines]
+    i = 0
+    while i < n:
+        j = i + 1
+        while j < n and width[j] == width[i]:
+            j += 1
+        found.add((i, j))
+        if j < n and width[j] < width[i]:
+            found.add((i, j + 1))
+            if i:  # a first line that shares its line with other text
+                found.add((i - 1, j + 1))
+        if i:
+            found.add((i - 1, j))
+        i = j
+    return sorted((f for f in found if f[1] - f[0] > 1), key=lambda f: (f[0] - f[1], f[0]))
+
+
+def _wrapped(layer: Layer, rules: Rules, known: dict) -> tuple[list[Layer], int]:
+    """Layers of values that run over several lines."""
     out, refused = [], 0
+    for m in WRAPPED.finditer(layer.text):
+        edges = [m.start(), *(k for p in LINE_BREAK.finditer(layer.text, m.start(), m.end()) for k in p.span()), m.end()]
+        lines = list(zip(edges[::2], edges[1::2], strict=True))
+        free = Free()
+        for i, j in _blocks(lines):
+            if not free.has(i, j):
+                continue
+            run = "".join([layer.text[a:b] for a, b in lines[i:j]])
+            got = _value(layer, run, np.concatenate([np.arange(a, b) for a, b in lines[i:j]]), rules, known)
+            if got is Refused:
+                refused += 1
+                free.take(i, i + 1)
+            elif got:
+                out.append(got[0])
+                size = np.cumsum([b - a for a, b in lines[i:j]])
+                free.take(i, i + int(np.searchsorted(size, got[1])) + 1)
+    return out, refused
+
+
+def _base64(layer: Layer, rules: Rules, known: dict) -> tuple[list[Layer], int]:
+    """Layers of wrapped values, and of all runs within a line: of each run the values that don't overlap."""
+    out, refused = _wrapped(layer, rules, known)
     for m in BASE64.finditer(layer.text):
         free = Free()
         for a, b in _candidates(m[0], rules):
@@ -292,11 +339,12 @@ def wrapped_rows(raw: np.ndarray, offsets: np.ndarray, rules: Rules) -> np.ndarr
     owner = np.searchsorted(offsets, starts, "right") - 1
     data = raw.tobytes()
     inner = re.compile(rb"[/_-]").search
+    goes_on = re.compile(rb"[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]").match
     for k, a, b in zip(owner.tolist(), starts.tolist(), ends.tolist(), strict=True):
         if not out[k]:
             run = data[a:b]
-            if inner(run):
-                out[k] = True  # several ways to cut it
+            if inner(run) or goes_on(data, b):
+                out[k] = True  # several ways to cut it, or lines to join
                 continue
             try:
                 out[k] = unwrapped(run.decode(), rules) is not None

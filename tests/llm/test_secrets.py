@@ -100,3 +100,20 @@ def test_all_values_of_a_run_are_unwrapped():
         text = f"at path/{one}{sign}{two}{sign}{three}{sign}name"
         found = S.nested(text)[0]
         assert {(0, one), (1, two), (2, three)} <= {(k, x) for a, k, b in found for x in (one, two, three) if text.index(x) <= a < b <= text.index(x) + len(x)}
+
+
+def test_wrapped_base64_is_joined(spark):
+    filler = "".join(f"{k * 7919 % 1000:03d} " for k in range(300))
+    plain = "é" * 25 + f" {KEY} and token=abcdefgh1234 " + "é" * 40
+    for data in (gzip.compress(f"{filler}{KEY} end".encode(), mtime=0), plain.encode()):
+        for columns in (64, 76):
+            run = base64.b64encode(data).decode()
+            for end in ("\n", "\r\n", "\n  "):
+                lines = end.join(run[k : k + columns] for k in range(0, len(run), columns))
+                for before, after in (("data:\n", "\nSome words"), ("key: ", ""), ("-----BEGIN X-----" + end, end + "-----END X-----"), ("x" * 20 + "\n", "\nEND\n")):
+                    text = f"é {before}{lines}{after}"
+                    at = text.index(lines)
+                    found = S.nested(text)[0]
+                    assert any(k == 1 and at <= a < b <= at + len(lines) for a, k, b in found), text
+    (row,) = S.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert "access:" in row.nested and "assign:" in row.nested
