@@ -91,7 +91,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at ``at``; Bad if a check fails."""
     if data[at : at + len(VERSION)] != VERSION:
         raise Bad("no version line")
-    end = data.find(b"\r\n\r\n", at, at + 65536)
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise Bad("headers without an end")
     lines = data[at:end].split(b"\r\n")

@@ -82,3 +82,12 @@ def test_gaps_are_logged(spark, tmp_path):
     assert {bytes(r.payload) for r in got if r.page_id == 4} == {b"<p>4</p>" * 20}
     (gap,) = A.gaps(spark, str(tmp_path)).collect()
     assert gap.start <= edge[2] + 30 < gap.end and zlib.crc32(data)
+
+
+def test_headers_of_any_length(spark):
+    urls = ["http://x/" + "a" * 70_000, "http://x/" + " " * 30_000, "data:," + "b" * 300_000]
+    pages = spark.createDataFrame([(k, u, BIG) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in A.round_trip(pages).collect())
+    assert got == [(0, "response", None), (1, "revisit", 0), (2, "revisit", 0)]
+    record = A.make_record(1, urls[0], b"x", hashlib.sha256(b"x").hexdigest(), None)
+    assert [x[3][0]["warc-target-uri"] for x in A.salvage(record)] == urls[:1]
