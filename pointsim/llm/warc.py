@@ -8,7 +8,9 @@ gzip member, which readers pass over.
 Reading: each file is read from the start; a record must have a version line, its headers, the block that
 Content-Length announces, the blank lines after it, and the announced digest. After a failed check the reader
 searches for the next gzip magic or version line that starts a valid record, goes on from there, and logs the
-bytes between as a gap.
+bytes between as a gap. The same holds within a gzip member of several records: records before and after a failed one are
+kept, also those that a truncated or damaged member still unpacks to, and the member's bytes are logged as a gap
+beside them. Of a damaged member (not a truncated one) only records whose announced digest holds are kept.
 
 Defined results: a null html is an empty payload; a null url gives no target; rows without page_id never are
 what others refer to, unless no row of their payload has an id: then all are responses; of repeated rows of one
@@ -83,6 +85,9 @@ def member(record: bytes, level: int) -> bytes:
     return pack.compress(record) + pack.flush()
 
 
+TRUNCATED, DAMAGED = "a gzip member without an end", "a damaged gzip member"
+
+
 class Bad(ValueError):
     """A check that failed."""
 
@@ -114,56 +119,89 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return headers, block, stop + 4
 
 
-def unpack(data: memoryview, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``at``."""
+def unpack(data: memoryview, at: int, step: int = 1 << 16) -> tuple[bytes, int, str | None]:
+    """Content of the gzip member at ``at``, where it ends, and what is wrong with it: then the content is what could be had."""
     opened = zlib.decompressobj(31)
     out, pos = [], at
-    try:
-        while not opened.eof:
-            piece = data[pos : pos + step]
-            if not len(piece):
-                raise Bad("a gzip member without an end")
+    while not opened.eof:
+        piece = data[pos : pos + step]
+        if not len(piece):
+            return b"".join(out), pos, TRUNCATED
+        try:
             out.append(opened.decompress(piece))
-            pos += len(piece)
-    except zlib.error as e:
-        raise Bad("a damaged gzip member") from e
-    return b"".join(out), pos - len(opened.unused_data)
-
-
-def take(data: bytes, view: memoryview, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """Records of the member or record at ``at``, and where it ends."""
-    if data[at : at + 3] == GZIP:
-        content, end = unpack(view, at)
-        found, pos = [], 0
-        while pos < len(content):
-            headers, block, pos = parse_record(content, pos)
+        except zlib.error:
+            break
+        pos += len(piece)
+    else:
+        return b"".join(out), pos - len(opened.unused_data), None
+    # the piece that failed again, byte by byte, as its first part may be sound
+    opened, out = zlib.decompressobj(31), []
+    for k in range(at, pos, step):
+        out.append(opened.decompress(data[k : k + step]))
+    try:
+        while True:
+            out.append(opened.decompress(data[pos : pos + 1]))
+            pos += 1
+    except zlib.error:
+        return b"".join(out), pos, DAMAGED
+
+
+def records(content: bytes, sure: bool) -> tuple[list[tuple[dict[str, str], bytes]], str | None]:
+    """Valid records of what a member holds, and why the first that isn't failed. Without ``sure`` a record must announce its digest."""
+    found, pos, why = [], 0, None
+    while 0 <= pos < len(content):
+        try:
+            headers, block, end = parse_record(content, pos)
+            if not sure and not headers.get("warc-block-digest", "").startswith("sha256:"):
+                raise Bad("a record without a digest in a damaged member")
             found.append((headers, block))
-        return found, end
-    headers, block, end = parse_record(data, at)
-    return [(headers, block)], end
+            pos = end
+        except Bad as e:
+            why = why or str(e)
+            pos = content.find(VERSION, pos + 1)
+    return found, why
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """("record", start, end, (headers, block)) and ("gap", start, end, reason), in order; together they cover the file."""
+    """("record", start, end, (headers, block)) and ("gap", start, end, reason), in order; together they cover the file.
+
+    Records of a member all have its start and end, and so has the gap of a member of which only some could be read."""
     view, at, n = memoryview(data), 0, len(data)
     gap, reason = -1, ""
+    held, until = [], 0  # records that a member without a sound end gave, and where its unpacking stopped
     while at < n:
-        if data[at : at + 3] == GZIP or data[at : at + len(VERSION)] == VERSION:
+        found, why, end = [], "neither a gzip member nor a version line", 0
+        if data[at : at + 3] == GZIP:
+            content, stop, broken = unpack(view, at)
+            found, why = records(content, broken != DAMAGED)
+            if broken:
+                why = broken
+            else:
+                end = stop
+        elif data[at : at + len(VERSION)] == VERSION:
             try:
-                found, end = take(data, view, at)
-                if gap >= 0:
-                    yield "gap", gap, at, reason
-                    gap = -1
-                for x in found:
-                    yield "record", at, end, x
-                at = end
-                continue
+                headers, block, end = parse_record(data, at)
+                found, why = [(headers, block)], None
+                if at < until and found[0] in held:  # stored without compression in that member
+                    at = end
+                    continue
             except Bad as e:
                 why = str(e)
-        else:
-            why = "neither a gzip member nor a version line"
-        if gap < 0:
+        if gap >= 0 and (found or not why):
+            yield "gap", gap, at, reason
+            gap = -1
+        for x in found:
+            yield "record", at, end or stop, x
+        if why and gap < 0:
             gap, reason = at, why
+        if end:  # what follows is found without a search
+            if why and found:
+                yield "gap", at, end, why
+                gap = -1
+            at = end
+            continue
+        if found:
+            held, until = found, stop
         later = [x for x in (data.find(GZIP, at + 1), data.find(VERSION, at + 1)) if x >= 0]
         at = min(later, default=n)
     if gap >= 0:

@@ -91,3 +91,27 @@ def test_headers_of_any_length(spark):
     assert got == [(0, "response", None), (1, "revisit", 0), (2, "revisit", 0)]
     record = A.make_record(1, urls[0], b"x", hashlib.sha256(b"x").hexdigest(), None)
     assert [x[3][0]["warc-target-uri"] for x in A.salvage(record)] == urls[:1]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_records_of_one_member(level):
+    bodies = [random.Random(k).randbytes(400).hex().encode() for k in range(12)]
+    parts = [A.make_record(k, f"http://x/{k}", b, hashlib.sha256(b).hexdigest(), None) for k, b in enumerate(bodies)]
+
+    def kept(data):
+        found = list(A.salvage(data))
+        return [int(x[3][0]["x-page-id"]) for x in found if x[0] == "record"], [x[1:] for x in found if x[0] == "gap"]
+
+    after = A.member(parts[11], 6)
+    whole = A.member(b"".join(parts[:11]), level)
+    assert kept(whole + after) == (list(range(12)), [])
+    hurt = b"".join(parts[:4]) + parts[4].replace(bodies[4][:50], b"?" * 50) + b"".join(parts[5:11])
+    data = A.member(hurt, level)
+    assert kept(data + after) == ([0, 1, 2, 3, *range(5, 12)], [(0, len(data), "the block's digest differs")])
+    ids, gaps = kept(whole[: len(whole) * 2 // 3])
+    assert ids == list(range(len(ids))) and 5 <= len(ids) <= 8 and gaps == [(0, len(whole) * 2 // 3, A.TRUNCATED)]
+    ids, gaps = kept(whole[:-8] + b"\0" * 8 + after)
+    assert ids == list(range(12)) and gaps == [(0, len(whole), A.DAMAGED)]
+    cut = len(whole) // 2
+    ids, gaps = kept(whole[:cut] + after)
+    assert ids[-1] == 11 and ids[:-1] == list(range(len(ids) - 1)) and len(ids) >= 5 and len(gaps) == 1
