@@ -3,9 +3,9 @@
 A paragraph is a line of a text. Its features are its words and pairs of neighbouring words, each counted once. A
 multinomial logistic regression with an L1 penalty, fitted on the driver from the templates below and on paragraphs of a
 bounded sample of documents, gives a family or ``unknown``; a temperature, fitted on rows held out, calibrates
-its probabilities. Predictions below ``threshold`` are unknown, and so is a paragraph without any gate word: words that
-ordinary paragraphs of the sample don't have and of which every template has one. A prediction is confirmed if enough of
-the pairs of one of its family's templates are in the paragraph.
+its probabilities. Predictions below ``threshold`` are unknown. A prediction is confirmed if enough of the pairs of one of
+its family's templates are in the paragraph. Paragraphs without any gate word are not scored: of each template, the
+pairs without a gate word are too few to confirm it, so that this hides nothing.
 
 Defined results: a null or empty text has no paragraphs; repeated rows are scanned alike, each on its own; without
 documents to sample the written negatives alone are the unknown class.
@@ -14,6 +14,7 @@ documents to sample the written negatives alone are the unknown class.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -112,6 +113,13 @@ class Model:
     temperature: float
     gates: list[str]
     pairs: dict[str, list[list[str]]] = field(default_factory=dict)
+    least_pairs: float = 1.0  # what the gates are safe for
+
+    def gate(self, rules: Rules) -> str:
+        """A pattern that every paragraph in lower case has which these rules could confirm."""
+        if "" in self.gates or rules.least_pairs < self.least_pairs:
+            return ""
+        return f"(?<![a-z0-9])(?:{'|'.join(self.gates)})(?![a-z0-9])"
 
 
 def words(text: str) -> list[str]:
@@ -142,19 +150,19 @@ def _examples(negatives: list[list[str]], rules: Rules) -> list[tuple[list[str],
     return out
 
 
-def _gates(rows: list[list[str]], negatives: list[list[str]]) -> list[str]:
-    """Words that sampled paragraphs lack, so few that each template has one; a word stands for those that contain it."""
-    common = {w for n in negatives for w in n}
-    left, gates = [set(r) for r in rows], []
-    options = sorted({w for r in left for w in r if len(w) >= 5 and w not in common})
-    while left:
-        count = {g: sum(any(g in w for w in r) for r in left) for g in options}
-        best = max(sorted(count), key=lambda g: (count[g], -len(g)), default=None)
-        if best is None or not count[best]:
-            break
-        gates.append(best)
-        left = [r for r in left if not any(best in w for w in r)]
-    return gates
+def _gates(templates: list[list[str]], negatives: list[list[str]], least: float) -> list[str]:
+    """Words, rare in the sampled paragraphs, such that less than the share ``least`` of each template's pairs has none of them."""
+    common = Counter(w for n in negatives for w in set(n))
+    left, gates = [[p.split(" ") for p in t] for t in templates], []
+    while True:
+        still = [own for own, t in zip(left, templates, strict=True) if len(own) / max(len(t), 1) >= least]
+        if not still:
+            return gates
+        gain = Counter(w for own in still for pair in own for w in set(pair))
+        if not gain:
+            return [""]
+        gates.append(max(sorted(gain), key=lambda w: gain[w] / (1 + common[w])))
+        left = [[pair for pair in own if gates[-1] not in pair] for own in left]
 
 
 def train(sample: list[str], rules: Rules = Rules()) -> Model:
@@ -190,7 +198,7 @@ def train(sample: list[str], rules: Rules = Rules()) -> Model:
     fit = [-np.log(np.maximum(soft(z / t)[np.arange(len(z)), y[held]], 1e-12)).mean() + 1e-3 * abs(np.log(t)) for t in grid]
     used = {g: [round(float(v), 6) for v in w[k]] for g, k in number.items() if w[k].any()}
     pairs = {f: [grams(words(t))[len(dict.fromkeys(words(t))) :] for t in texts] for f, texts in TEMPLATES.items()}
-    return Model(families, used, [round(float(v), 6) for v in b], float(grid[int(np.argmin(fit))]), _gates([words(t) for v in TEMPLATES.values() for t in v], other), pairs)
+    return Model(families, used, [round(float(v), 6) for v in b], float(grid[int(np.argmin(fit))]), _gates([t for v in pairs.values() for t in v], other, rules.least_pairs), pairs, rules.least_pairs)
 
 
 def fit(docs: DataFrame, rules: Rules = Rules()) -> Model:
@@ -232,7 +240,7 @@ def score(paragraph: Column, model: Model, rules: Rules) -> Column:
 
 def scan(docs: DataFrame, model: Model, rules: Rules = Rules()) -> DataFrame:
     """Per row of docs: doc_id and found, its licence paragraphs as (paragraph, family, probability, share, text). No shuffle, no Python."""
-    gate = "|".join(model.gates)
+    gate = model.gate(rules)
     lines = F.split("text", "\n", -1)
     empty = "array<struct<paragraph: bigint, family: string, probability: double, share: double, text: string>>"
     gated = F.filter(F.transform(lines, lambda p, k: F.struct(k.cast("bigint").alias("paragraph"), p.alias("text"))), lambda s: F.lower(s["text"]).rlike(gate))

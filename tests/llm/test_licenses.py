@@ -76,3 +76,12 @@ def test_model_without_documents(odd):
 def test_no_python_in_plan(docs, model):
     plan = L.report(docs, model)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan and SF
+
+
+def test_no_gate_hides_a_notice(spark, model):
+    texts = [("Released under the MIT Licence.", "mit"), ("Released under the GPL, version 2 or later", "gpl")]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    assert [r.families for r in sorted(L.report(df, model).collect(), key=lambda r: r.doc_id)] == [f for _, f in texts]
+    gates = set(model.gates)
+    for t in (t for v in model.pairs.values() for t in v):
+        assert sum(not gates & set(pair.split(" ")) for pair in t) < RULES.least_pairs * len(t)
