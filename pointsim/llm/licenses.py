@@ -1,6 +1,8 @@
 """License scans: a trained paragraph classifier, confirmed by templates; scoring in DataFrame operations only.
 
-A paragraph is a line of a text. Its features are its words and pairs of neighbouring words, each counted once. A
+A paragraph is a line of a text, or a run of neighbouring lines with words, joined, of which all but the last have fewer
+than ``most_words`` words. A line that is found counts by itself; of the other runs found, the shortest and then the first
+come first, and none that overlaps one before is taken. A run goes by the number of its first line. Its features are its words and pairs of neighbouring words, each counted once. A
 multinomial logistic regression with an L1 penalty, fitted on the driver from the templates below and on paragraphs of a
 bounded sample of documents, gives a family or ``unknown``; a temperature, fitted on rows held out, calibrates
 its probabilities. Predictions below ``threshold`` are unknown. A prediction is confirmed if enough of the pairs of one of
@@ -97,6 +99,7 @@ NEGATIVES = [
 class Rules:
     threshold: float = 0.6
     least_pairs: float = 0.5  # share of a template's pairs that confirms
+    most_words: int = 100  # of joined lines without the last; the longest template has 45
     max_docs: int = 300  # documents whose paragraphs are sampled as unknown
     max_paragraphs: int = 5000
     copies: int = 24  # changed copies of each template
@@ -238,22 +241,60 @@ def score(paragraph: Column, model: Model, rules: Rules) -> Column:
     return F.element_at(F.transform(once, confirmed), 1)
 
 
+def _pairs(paragraph: Column) -> Column:
+    own = F.regexp_extract_all(F.lower(paragraph), F.lit(f"({WORD})"), F.lit(1))
+    return F.zip_with(F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))), F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _runs(rules: Rules) -> Column:
+    """(n, first) of the runs of n > 1 lines, from 1, that may hold a notice: with a gate word, and no line that is found or has no words."""
+    lines = F.size("__lines")
+
+    def fits(first: Column, n: Column) -> Column:
+        own = F.slice("__words", first, n)
+        short = F.aggregate(F.slice("__words", first, n - 1), F.lit(0), lambda a, c: a + c) < rules.most_words
+        return short & F.forall(own, lambda c: c > 0) & F.exists(F.slice("__gated", first, n), lambda g: g)
+
+    def of(first: Column) -> Column:
+        sizes = F.sequence(F.lit(2), F.least(lines - first + 1, F.lit(rules.most_words + 1)))
+        return F.transform(F.filter(sizes, lambda n: fits(first, n)), lambda n: F.struct(n.alias("n"), first.alias("first")))
+
+    near = F.filter(F.sequence(F.lit(1), lines - 1), lambda k: F.exists(F.slice("__gated", k, rules.most_words + 1), lambda g: g))
+    return F.when(lines > 1, F.flatten(F.transform(near, of))).otherwise(F.array().cast("array<struct<n: int, first: int>>"))
+
+
 def scan(docs: DataFrame, model: Model, rules: Rules = Rules()) -> DataFrame:
     """Per row of docs: doc_id and found, its licence paragraphs as (paragraph, family, probability, share, text). No shuffle, no Python."""
     gate = model.gate(rules)
-    lines = F.split("text", "\n", -1)
-    empty = "array<struct<paragraph: bigint, family: string, probability: double, share: double, text: string>>"
-    gated = F.filter(F.transform(lines, lambda p, k: F.struct(k.cast("bigint").alias("paragraph"), p.alias("text"))), lambda s: F.lower(s["text"]).rlike(gate))
-
-    def row(s: Column) -> Column:
-        got = score(s["text"], model, rules)
-        return F.struct(s["paragraph"].alias("paragraph"), got.alias("got"), s["text"].alias("text"))
-
-    scored = F.transform(gated, row)
-    flat = F.transform(scored, lambda s: F.struct(s["paragraph"].alias("paragraph"), s["got"]["family"].alias("family"), s["got"]["probability"].alias("probability"), s["got"]["share"].alias("share"), s["text"].alias("text")))
-    kept = F.filter(flat, lambda s: (s["family"] != "unknown") & (s["share"] >= rules.least_pairs))
-    found = F.when(F.lower("text").rlike(gate), kept).otherwise(F.array().cast(empty))
-    return docs.select(F.col("doc_id"), F.coalesce(found, F.array().cast(empty)).alias("found"))
+    kind = "paragraph: bigint, family: string, probability: double, share: double, text: string"
+
+    def row(number: Column, n: Column, text: Column) -> Column:
+        return F.struct(number.cast("bigint").alias("paragraph"), n.cast("int").alias("n"), score(text, model, rules).alias("got"), text.alias("text"))
+
+    def kept(scored: Column) -> Column:
+        flat = F.transform(scored, lambda s: F.struct(s["n"].alias("n"), s["paragraph"].alias("paragraph"), s["got"]["family"].alias("family"), s["got"]["probability"].alias("probability"), s["got"]["share"].alias("share"), s["text"].alias("text")))
+        return F.filter(flat, lambda s: (s["family"] != "unknown") & (s["share"] >= rules.least_pairs))
+
+    # a run has half a template's pairs only if it has as many of all templates' pairs as half of the shortest
+    known = F.array(*(F.lit(p) for p in sorted({p for v in model.pairs.values() for t in v for p in t})))
+    fewest = min((len(t) for v in model.pairs.values() for t in v), default=0) * rules.least_pairs
+
+    rows = docs.select("doc_id", F.when(F.lower("text").rlike(gate), F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>")).alias("__lines"))
+    rows = rows.withColumn("__gated", F.transform("__lines", lambda p: F.lower(p).rlike(gate)))
+    gated = F.filter(F.transform("__lines", lambda p, k: F.struct(k.alias("paragraph"), p.alias("text"))), lambda s: F.lower(s["text"]).rlike(gate))
+    rows = rows.withColumn("__found", kept(F.transform(gated, lambda s: row(s["paragraph"], F.lit(1), s["text"]))))
+    rows = rows.withColumn("__taken", F.transform("__found", lambda f: f["paragraph"]))
+    rows = rows.withColumn("__words", F.transform("__lines", lambda p, k: F.when(F.array_contains("__taken", k.cast("bigint")), 0).otherwise(F.regexp_count(F.lower(p), F.lit(WORD)))))
+    rows = rows.withColumn("__runs", F.transform(_runs(rules), lambda x: F.struct(x["n"].alias("n"), x["first"].alias("first"), F.array_join(F.slice("__lines", x["first"], x["n"]), "\n").alias("text"))))
+    likely = F.filter("__runs", lambda x: F.size(F.array_intersect(known, _pairs(x["text"]))) >= fewest)
+    rows = rows.withColumn("__joined", F.array_sort(kept(F.transform(likely, lambda x: row(x["first"] - 1, x["n"], x["text"])))))
+
+    def apart(a: Column, b: Column) -> Column:
+        return (a["paragraph"] + a["n"] <= b["paragraph"]) | (b["paragraph"] + b["n"] <= a["paragraph"])
+
+    chosen = F.aggregate("__joined", F.col("__found"), lambda acc, x: F.when(F.forall(acc, lambda y: apart(x, y)), F.concat(acc, F.array(x))).otherwise(acc))
+    found = F.transform(chosen, lambda s: F.struct(*(s[k].alias(k) for k in ("paragraph", "family", "probability", "share", "text"))))
+    return rows.select("doc_id", F.array_sort(found).cast(f"array<struct<{kind}>>").alias("found"))
 
 
 def report(docs: DataFrame, model: Model, rules: Rules = Rules()) -> DataFrame:

@@ -85,3 +85,27 @@ def test_no_gate_hides_a_notice(spark, model):
     gates = set(model.gates)
     for t in (t for v in model.pairs.values() for t in v):
         assert sum(not gates & set(pair.split(" ")) for pair in t) < RULES.least_pairs * len(t)
+
+
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software."""
+GPL = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */"""
+
+
+def test_wrapped_notices(spark, model):
+    texts = [(MIT, "mit"), (GPL, "gpl"), ("Intro of it.\nLicensed under the Apache\nLicense, Version 2.0.\nMore.", "apache"), ("Licensed under the Apache\n\nand other\nthings", "")]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = sorted(L.scan(df, model).collect(), key=lambda r: r.doc_id)
+    assert [",".join(sorted({f.family for f in r.found})) for r in got] == [f for _, f in texts]
+    for r, (t, _) in zip(got, texts, strict=True):
+        assert all(t.split("\n")[f.paragraph :][: f.text.count("\n") + 1] == f.text.split("\n") for f in r.found)
