@@ -99,7 +99,7 @@ NEGATIVES = [
 class Rules:
     threshold: float = 0.6
     least_pairs: float = 0.5  # share of a template's pairs that confirms
-    most_words: int = 100  # of joined lines without the last; the longest template has 45
+    most_words: int = 100  # of joined lines without the last; the longest template has 42
     max_docs: int = 300  # documents whose paragraphs are sampled as unknown
     max_paragraphs: int = 5000
     copies: int = 24  # changed copies of each template
