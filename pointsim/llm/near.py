@@ -9,7 +9,8 @@
 4. Links are confirmed on full sets. A small family is one piece of work. A large one is dealt in chunks over
    the cluster and compared with pivots, in rounds: nodes that a pivot links, and that no pivot of another
    class is near, are done (Jaccard distance is a metric: whatever they could link to, a pivot would be near
-   them); the rest give the next pivots, until none is left. No link between candidates is lost.
+   them); the rest give the next pivots, until none is left. No link between candidates is lost. Nodes that are done
+   are still compared with later pivots: such a pivot may link to them without having been near a pivot's links itself.
 
 Defined results: texts without words have empty sets and are linked with nothing; fewer words than a shingle
 make one shingle; repeated rows share a component, and rows of one doc_id are the same document; rows without
@@ -318,7 +319,9 @@ def _classes(docs: DataFrame, rules: Rules, held: C.Scratch) -> DataFrame:
     stars = bands.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     ties = bands.join(stars, "band").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     family = components(ties, held)
-    family = family.unionByName(family.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("component", "family")
+    # each node and each component's own; summed up before the shuffle, so that a large component's node isn't hot
+    both = F.explode(F.array(F.struct("node", "component"), F.struct(F.col("component").alias("node"), "component")))
+    family = family.select(both.alias("__e")).groupBy("__e.node").agg(F.min("__e.component").alias("family"))
     texts = docs.select(node_id().alias("node"), "text")
     family = family.join(nodes.select("node", "set_key"), "node").hint("shuffle_hash")
     members = held.put(texts.join(family, "node").select("family", "node", "set_key", "text"), "members")
