@@ -23,10 +23,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back, so that its lineage ends."""
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back, so that its lineage ends. options: the writer's."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
