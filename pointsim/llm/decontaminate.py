@@ -349,6 +349,10 @@ class Found:
 ARRAYS = pa.schema([("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("vocabulary", pa.binary()), ("text", pa.binary()), ("order", pa.binary())])
 
 
+#: A row is megabytes long: writers and readers hold few of them.
+SMALL_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
+
+
 def arrays(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """A row a shard: its documents, words and suffix array. A table in the shared folder."""
 
@@ -361,7 +365,7 @@ def arrays(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 yield C.record(ARRAYS, [[ids[i:j].to_pylist()], [s.n], [s.vocabulary.astype("<u8").tobytes()], [text.tobytes()], [s.order.astype("<u4").tobytes()]])
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return C.materialize(C.map_arrow(own, run, "doc_ids array<long>, n_words array<long>, vocabulary binary, text binary, order binary"), "suffix-arrays")
+    return C.materialize(C.map_arrow(own, run, "doc_ids array<long>, n_words array<long>, vocabulary binary, text binary, order binary"), "suffix-arrays", **SMALL_GROUPS)
 
 
 def _shards(batches):
