@@ -1,9 +1,12 @@
 import base64
 import gzip
 import re
+import time
+import zlib
 from urllib.parse import quote
 
 import brute
+import numpy as np
 from conftest import ODD
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -117,3 +120,140 @@ def test_wrapped_base64_is_joined(spark):
                     assert any(k == 1 and at <= a < b <= at + len(lines) for a, k, b in found), text
     (row,) = S.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert "access:" in row.nested and "assign:" in row.nested
+
+
+# ---------------------------------------------------------------- a plain worklist
+def plain_text(data):
+    try:
+        text = data.decode()
+    except UnicodeDecodeError:
+        return None
+    return None if re.search(r"[\x00-\x08\x0e-\x1f\x7f-\x9f�]", text) else text
+
+
+def plain_open(data):
+    for magic, kind in ((b"\x1f\x8b\x08", 31), (b"x", 15)):
+        if data.startswith(magic):
+            opened = zlib.decompressobj(kind)
+            try:
+                out = opened.decompress(data)
+            except zlib.error:
+                continue
+            if opened.eof:
+                return out, len(data) - len(opened.unused_data)
+    return None
+
+
+def plain_decode(run):
+    run = run.replace("-", "+").replace("_", "/")
+    return None if len(run) % 4 == 1 else base64.b64decode(run + "=" * (-len(run) % 4))
+
+
+def plain_values(run):
+    """All pairs of a start and an end, each decoded by itself; the longest first."""
+    cuts = [k for k, c in enumerate(run) if c in "/_-"]
+    pairs = []
+    for a in [0, *(k + 1 for k in cuts)]:
+        data = plain_decode(run[a:]) or plain_decode(run[a:-1])
+        if len(run) - a >= 16 and (got := plain_open(data)):
+            pairs.append((a, min(a - (-got[1] * 4 // 3), len(run)), got[0].decode(errors="replace"), None))
+            continue
+        for b in reversed([*cuts, len(run)]):
+            if b - a >= 16 and (data := plain_decode(run[a:b])) is not None and (text := plain_text(data)):
+                pairs.append((a, b, text, a))
+                break
+    taken = set()
+    for a, b, text, at in sorted(pairs, key=lambda x: (x[0] - x[1], x[0])):
+        if taken.isdisjoint(range(a, b)):
+            taken |= set(range(a, b))
+            yield a, b, text, at
+    rest = []
+    for shift in range(4):
+        data = plain_decode(run[shift:]) or plain_decode(run[shift:-1]) or b""
+        for k in range(len(data)):
+            if data.startswith(b"\x1f\x8b\x08", k) and (got := plain_open(data[k:])):
+                rest.append((shift + k // 3 * 4 + k % 3, min(shift + (k + got[1] - 1) // 3 * 4 + (k + got[1] - 1) % 3 + 2, len(run)), got[0].decode(errors="replace"), None))
+        k = 0
+        while k < len(data):
+            j = k
+            while j < len(data):
+                size = next((n for n in range(1, 5) if plain_text(data[j : j + n]) and len(data[j : j + n]) == n and len(data[j : j + n].decode()) == 1), 0)
+                if not size:
+                    break
+                j += size
+            if j - k >= 12:
+                rest.append((shift + k // 3 * 4 + k % 3, min(shift + (j - 1) // 3 * 4 + (j - 1) % 3 + 2, len(run)), data[k:j].decode(), None))
+            k = max(j, k + 1)
+    for a, b, text, at in sorted(rest, key=lambda x: (x[0] - x[1], x[0])):
+        if taken.isdisjoint(range(a, b)):
+            taken |= set(range(a, b))
+            yield a, b, text, at
+
+
+def plain_worklist(text):
+    """Kinds and spans of the secrets below; of text in base64 only the kind and whether it lies in the run."""
+    work, seen, out = [(text, [(k, k + 1) for k in range(len(text))])], {text}, set()
+    while work:
+        layer, places = work.pop()
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}", layer):
+            for a, b, inner, _ in plain_values(m[0]):
+                span = places[m.start() + a][0], places[m.start() + b - 1][1]
+                work.append((inner, [span] * len(inner)))
+        for pattern, code in ((r"%([0-7][0-9a-fA-F])", 16), (r"\\u(00[0-7][0-9a-fA-F])", 16), (r"&#([0-9]{1,3});", 10)):
+            new, own, at = "", [], 0
+            for m in re.finditer(pattern, layer):
+                new, own = new + layer[at : m.start()] + chr(int(m[1], code)), own + places[at : m.start()] + [(places[m.start()][0], places[m.end() - 1][1])]
+                at = m.end()
+            if at:
+                work.append((new + layer[at:], own + places[at:]))
+        if layer is not text:
+            out |= {(min(p[0] for p in places[a:b]), k, max(p[1] for p in places[a:b])) for a, k, b in base(layer)}
+    return out
+
+
+def within(few, many):
+    return all(any(k == x and c <= a < b <= d for c, x, d in many) for a, k, b in few)
+
+
+def test_whole_tables_against_a_plain_worklist(spark, rows):
+    one = f"token=abcdefgh1234 {KEY}"
+    mixed = [base64.b64encode(one.encode()).decode().rstrip("="), packed(one), base64.b64encode(zlib.compress(one.encode())).decode(), quote(one, safe=""), "a/b-c_d" * 3, "Z" * 17]
+    odd = [(10**6 + k, f"see {a}{sign}{b} and x{c}") for k, (a, b, c, sign) in enumerate((a, b, c, sign) for a in mixed for b in mixed for c in mixed[:3] for sign in "/ _")]
+    odd += [(2 * 10**6 + k, "é " + base64.b64encode(quote(packed(m)).encode()).decode()) for k, m in enumerate(mixed)]
+    for own in (rows, odd):
+        got = {r.doc_id: r for r in S.find(spark.createDataFrame(own, "doc_id long, text string")).collect()}
+        for d, t in own:
+            mine, plain = S.nested(t or "")[0], plain_worklist(t or "")
+            assert S.spelled(sorted(set(mine) - set(base(t or "")))) == got[d].nested
+            # a layer's place is that of its characters, the plain version's the whole value's
+            assert within([x for x in mine if x not in base(t)], plain | set(base(t))), t
+            assert all(any(k == x and a <= c < d <= b for c, x, d in [*mine, *base(t)]) for a, k, b in plain), t
+    assert any(r.nested for r in got.values())
+
+
+def test_partial_escapes_pairs_and_glued_values():
+    assert (3, 1, 31) in S.nested("%FF%41%4B%49%41IOSFODNN7EXAMPLE")[0]
+    assert S.nested("a %E9%74oken=abcdefgh1234")[0] == [(5, 0, 25)]
+    pair = "\\ud83d\\ude00" + "".join(f"\\u{ord(c):04x}" for c in KEY)
+    assert S.nested(pair)[0] == [(12, 1, 12 + 6 * len(KEY))]
+    (layer, *_) = [x for x in S.layers(pair, S.Rules()) if not isinstance(x, int)]
+    assert layer.text == "\U0001f600" + KEY
+    noisy = base64.b64encode(b"\x00\x01\xff" + f"token=abcdefgh1234 {KEY}".encode() + b"\x00\x02").decode()
+    for text in (noisy, "x" + noisy, "xyz" + base64.b64encode(f"my key {KEY} is here".encode()).decode()):
+        assert 1 in {k for _, k, _ in S.nested(text)[0]}
+    dirty = gzip.compress(b"\x00\x01" + f"{KEY}\x00more".encode(), mtime=0)
+    assert [k for _, k, _ in S.nested(base64.b64encode(dirty).decode())[0]] == [1]
+
+
+def test_cost_grows_with_length_and_pieces_are_whole():
+    noise = bytes(np.random.Generator(np.random.PCG64(1)).integers(0, 256, 3_000_000, np.uint8))
+    image = base64.b64encode(noise).decode() + " " + base64.b64encode(f"{KEY} end".encode()).decode()
+    began = time.perf_counter()
+    assert any(k == 1 for _, k, _ in S.nested(image)[0])
+    assert time.perf_counter() - began < 30
+    content = "".join(f"line {k} has {'nothing' if k % 1000 else KEY}.\n" for k in range(20_000))
+    small = S.nested(packed(content), S.Rules(most_unpacked=10_000))
+    assert small[0] and set(small[0]) == set(S.nested(packed(content))[0]) and not small[2] and small[1] > 20
+    inner = packed(f"token=abcdefgh1234 and {KEY}")
+    content = "\n".join([*["some filler words here."] * 500, inner + ".", *["more of them."] * 500])
+    assert {k for _, k, _ in S.nested(packed(content), S.Rules(most_unpacked=2_000))[0]} == {0, 1}
