@@ -1,13 +1,17 @@
 """Quality rules: text measures with fixed limits, and a trained n-gram classifier.
 
-The classifier is a logistic regression over hashed word n-grams (1 and 2 words) and hashed
-character n-grams (4 UTF-8 bytes), fitted on a bounded sample of labelled rows, with
-probabilities calibrated (Platt) on rows held out of the fit. Documents are scored in Arrow
-batches. Weights are whole numbers of 2**-16, so a document's score doesn't depend on its batch.
-
-Defined results: a null or blank text has no words and fails the base rules; a null label is not
-used; labels of one class, or none, give no model and the base rules decide alone; repeated rows
-are judged alike, each on its own.
+The classifier is a logistic regression over hashed word n-grams (1 and 2 words) and hashed n-grams of 4
+characters (code points), fitted on a bounded sample of labelled rows, with probabilities calibrated (Platt) on
+rows held out of the fit, for classes of equal size. Documents are scored in Arrow batches against a fixed threshold. Weights are whole numbers of
+2**-16, so a document's score doesn't depend on its batch.
+
+The sample: at most ``max_rows`` labelled documents, one row of each doc_id (the least text), and the first ``max_chars``
+characters of each; it bounds what the driver holds, and the fit alone. Scores take whole texts, of any length.
+
+Defined results: a null or blank text has no words and fails the base rules; a null label is not used, of several labels of one
+doc_id the least; labels of one class, or none, give no model and the base rules decide alone; repeated rows are judged alike,
+each on its own; ties of a probability with the threshold are kept; an empty table gives no rows. Extra columns are never read,
+and ``filtered`` passes them on.
 """
 
 from __future__ import annotations
@@ -30,12 +34,13 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the base rules and of the classifier. max_rows bounds the labelled sample of the fit."""
+    """Limits of the base rules and of the classifier. max_rows and max_chars bound the labelled sample of the fit."""
 
     min_words: int = 10
     max_repeat_percent: int = 20
     threshold: float = 0.05
     max_rows: int = 2400
+    max_chars: int = 100_000
     seed: int = 7
     rounds: int = 80
 
@@ -107,17 +112,12 @@ class Text:
         return np.concatenate([self.owner, self.owner[at]]), np.concatenate([self.words >> shift, pairs >> shift]).astype(np.int64)
 
     def char_features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index of each 4-gram of bytes, and each text's first and last + 1."""
-        b = self.raw.astype(np.uint32)
-        if len(b) < 4:
-            grams = np.zeros(0, np.uint32)
-        else:
-            grams = b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)
-            grams ^= grams >> np.uint32(15)
-            grams *= np.uint32(0x2C1B3C6D)
-            grams >>= np.uint32(32 - BITS)
-        first = self.offsets[:-1]
-        last = np.maximum(first, self.offsets[1:] - 4)  # without the space at the end
+        """Index of each n-gram of 4 characters, and each text's first and last + 1."""
+        at = np.flatnonzero((self.raw & 0xC0) != 0x80)  # where characters start
+        edge = np.concatenate([at, [len(self.raw)]])
+        grams = (self.sums.hashes(at[:-3], edge[4:]) >> np.uint64(64 - BITS)).astype(np.int64) if len(at) > 3 else np.zeros(0, np.int64)
+        first = np.searchsorted(at, self.offsets[:-1])
+        last = np.maximum(first, np.searchsorted(at, self.offsets[1:]) - 4)  # without the space at the end
         return grams, first, last
 
 
@@ -129,7 +129,7 @@ def _matrix(column: pa.Array):
         t = Text(*C.utf8(column[i:j]))
         grams, first, last = t.char_features()
         n = last - first
-        for shift, own, idx in ((0, *t.word_features()), (SIZE, np.repeat(np.arange(t.n), n), grams[np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())].astype(np.int64))):
+        for shift, own, idx in ((0, *t.word_features()), (SIZE, np.repeat(np.arange(t.n), n), grams[np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())])):
             key, count = np.unique(own.astype(np.int64) << 20 | idx, return_counts=True)
             own = key >> 20
             owners.append(own + i)
@@ -185,18 +185,24 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a[0], 1e-6) / scale), float(a[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Model | None:
-    """Fit on at most rules.max_rows labelled rows, half of either class where there are enough; which ones, a hash of doc_id decides."""
+def sample(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """(__order, doc_id, text, __quality) of at most rules.max_rows labelled documents, half of either class where there are enough; which ones, a hash of doc_id decides."""
     own = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
     order = F.xxhash64("doc_id", F.lit(rules.seed))
     parts = [own.where(F.col("__quality") == q).withColumn("__order", order).orderBy("__order", "doc_id").limit(rules.max_rows // 2) for q in (0, 1)]
-    sample = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("__id"), "__quality", "__order")
+    drawn = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("__id"), "__quality", "__order")
     # at most max_rows rows of three numbers: a bounded broadcast
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("__order", "doc_id", "text", "__quality")
-    table = rows.toArrow().combine_chunks()
+    texts = docs.select("doc_id", F.substring("text", 1, rules.max_chars).alias("text")).where("text is not null")
+    rows = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("__id"))
+    return rows.groupBy("__order", "doc_id", "__quality").agg(F.min("text").alias("text")).select("__order", "doc_id", "text", "__quality")
+
+
+def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Model | None:
+    """Fit on the sample."""
+    table = sample(docs, labels, rules).toArrow().combine_chunks()
     if not table.num_rows:
         return None
-    table = table.sort_by([("__order", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    table = table.sort_by([("__order", "ascending"), ("doc_id", "ascending")])
     return train(table["text"].combine_chunks(), table["__quality"].to_numpy(), rules)
 
 

@@ -1,8 +1,11 @@
+import math
+
 import brute
 import numpy as np
 import pyarrow as pa
-from conftest import ODD
+from conftest import ODD, SF
 
+from pointsim.llm import common as C
 from pointsim.llm import quality
 
 
@@ -16,14 +19,70 @@ def test_measures_against_brute_force(docs, rows, odd):
 
 
 def test_model_on_rows_held_out(spark):
+    """Rows that were neither fitted nor used to calibrate; of the junk only what the base rules pass."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     rules = quality.Rules(max_rows=600)
+    seen = {r.doc_id for r in quality.sample(docs, labels, rules).collect()}
     model = quality.fit(docs, labels, rules)
     got = quality.score(docs, model, rules).join(labels, "doc_id").toPandas()
-    assert (got[got.quality == 0].kept == 0).mean() > 0.95
-    clean = got[(got.quality == 1) & ~got.base_failed]
-    assert clean.kept.mean() > 0.98
+    got = got[~got.doc_id.isin(seen) & ~got.base_failed]
+    junk, clean = got[got.quality == 0], got[got.quality == 1]
+    assert len(seen) == 600 and len(junk) > 50 and len(clean) > 500
+    assert (~junk.kept).mean() > 0.95 and clean.kept.mean() > 0.98
+    # calibrated for classes of equal size: a small Brier score, and about half of them good
+    assert (junk.probability**2).mean() / 2 + ((1 - clean.probability) ** 2).mean() / 2 < 0.05
+    assert 0.4 < junk.probability.mean() / 2 + clean.probability.mean() / 2 < 0.6
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    docs = spark.createDataFrame([(k % 40, f"text {k} " * 50) for k in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 40, k % 40 % 2) for k in range(400)], "doc_id long, quality int")
+    rules = quality.Rules(max_rows=10, max_chars=60)
+    rows = quality.sample(docs, labels, rules).collect()
+    assert len(rows) == 10 and {len(r.text) for r in rows} == {60} and len({r.doc_id for r in rows}) == 10
+    assert sorted(quality.sample(docs.union(docs), labels, rules).collect()) == sorted(rows)
+
+
+# ---------------------------------------------------------------- a plain scorer
+def plain_hash(data):
+    total = 0
+    for k, byte in enumerate(data):
+        total += int(C.BYTE_CODES[byte]) * pow(int(C.STEP), k, 1 << 64)
+    return plain_mix(total % (1 << 64))
+
+
+def plain_mix(h):
+    h ^= h >> 31
+    h = h * 0x9E3779B97F4A7C15 % (1 << 64)
+    h ^= h >> 29
+    h = h * 0xBF58476D1CE4E5B9 % (1 << 64)
+    return h ^ h >> 32
+
+
+def plain_probability(text, model):
+    words = [plain_hash(w.encode()) for w in brute.SPACE_WORD.findall(text)]
+    pairs = []
+    for a, b in zip(words, words[1:], strict=False):
+        h = (a * 0x9E3779B97F4A7C15 + b) % (1 << 64)
+        pairs.append(plain_mix(h ^ h >> 29))
+    chars = [plain_hash(text[k : k + 4].encode()) for k in range(len(text) - 3)]
+    mean = lambda own, part: sum(int(model.weights[part + (h >> 64 - quality.BITS)]) for h in own) / quality.ONE / max(len(own), 1)
+    score = model.slope * (model.bias + mean([*words, *pairs], 0) + mean(chars, quality.SIZE)) + model.shift
+    return 1 / (1 + math.exp(-max(-50, min(50, score))))
+
+
+def test_probability_and_verdict_against_a_plain_scorer(spark, docs, rows, odd):
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    for df, own in ((docs, [(d, t) for d, t in rows if len(t or "") < 3000]), (odd, ODD)):
+        got = {(r.doc_id, r.n_words, r.word_chars): r for r in quality.score(df, model).collect()}
+        for d, t in own:
+            n, chars, *_, failed = brute.quality(t)
+            p = plain_probability(t or "", model)
+            r = got[d, n, chars]
+            assert abs(r.probability - p) < 1e-9 and r.kept == (not failed and p >= quality.Rules().threshold)
+    mine = quality.filtered(docs, model).select("doc_id").collect()
+    assert sorted(r.doc_id for r in mine) == sorted(r.doc_id for r in quality.score(docs, model).where("kept").collect())
 
 
 def test_no_model_without_both_classes(spark, odd):
