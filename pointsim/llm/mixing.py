@@ -2,12 +2,15 @@
 
 Each document has a 60-bit hash of its id. Words are summed by source and hash bucket (12 bits); in the running
 sums the bucket where a source's budget ends is found, and only that bucket is split further by the next 12
-bits, until the threshold is one hash. Documents below their source's threshold are taken; nothing is
-sorted. Budgets beyond a source's size take all its documents once more, whole. What the threshold leaves
-open is filled by ``top_ups`` single documents, each the largest that fits.
+bits, until the threshold is one hash. Documents below their source's threshold are taken; no document is
+sorted. Budgets beyond a source's size take all its documents once more, whole. An addition to the method: what the
+threshold leaves open is filled by ``top_ups`` single documents, each the largest that fits, and of equal ones that of the
+smallest hash.
 
 Defined results: a null text has no words; null is a source of its own, the last; rows of one doc_id and source
-are taken together; rows without doc_id go by their text; an empty table gives no rows.
+are taken together, and each counts; rows without doc_id go by their text; a document without words is taken as its hash falls; none is
+taken more than ``most`` times; texts of any length count whole; an empty table gives no rows. Extra columns are never read,
+and ``mixed`` passes them on.
 """
 
 from __future__ import annotations
@@ -40,20 +43,20 @@ def sizes(docs: DataFrame, rules: Rules) -> DataFrame:
 
 
 def targets(own: DataFrame, rules: Rules) -> DataFrame:
-    """Per source: source_size and target. One row a source is ordered and summed up."""
-    order = W.orderBy(F.asc_nulls_last("source"))
-    all_rows = W.partitionBy()
-    weight = F.element_at(F.array(*map(F.lit, rules.weights)), F.col("__rank") % len(rules.weights) + 1)
-    source = own.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("__rank", F.row_number().over(order) - 1)
-    source = source.withColumn("__weight", weight.cast("double")).withColumn("__cap", F.col("source_size") * F.lit(rules.most))
+    """Per source: source_size and target. Sources may be as many as they like: ranges of them are summed up, and sums of ranges."""
+    number = F.element_at(F.array(*map(F.lit, rules.weights)), (F.col("__rank") % len(rules.weights) + 1).cast("int"))
+    source = own.groupBy("source").agg(F.sum("size").alias("source_size"))
+    source = C.summed_before(source, [F.asc_nulls_last("source")], {"__rank": F.lit(1)}, "ranks")
+    source = source.withColumn("__weight", number.cast("double")).withColumn("__cap", F.col("source_size") * F.lit(rules.most))
     source = source.withColumn("__ratio", F.col("__cap") / F.col("__weight"))
     # in order of cap per weight, sources are capped until the level that the rest of the budget gives is below their own
-    before = W.orderBy("__ratio", "__rank").rowsBetween(W.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(all_rows) * F.lit(rules.share) - F.coalesce(F.sum("__cap").over(before), F.lit(0.0))) / (F.sum("__weight").over(all_rows) - F.coalesce(F.sum("__weight").over(before), F.lit(0.0)))
-    source = source.withColumn("__level", level)
-    line = F.max(F.when(F.col("__ratio") >= F.col("__level"), F.col("__level"))).over(all_rows)
-    target = F.least(F.col("__cap"), F.coalesce(line * F.col("__weight"), F.col("__cap")))
-    return source.select("source", "source_size", F.greatest(target, F.lit(0.0)).alias("target"))
+    source = C.summed_before(source, [F.asc("__ratio"), F.asc("__rank")], {"__caps": F.col("__cap"), "__weights": F.col("__weight")}, "levels")
+    whole = source.agg(F.sum("source_size").alias("size"), F.sum("__weight").alias("weight"))
+    level = (F.col("size") * F.lit(rules.share) - F.col("__caps")) / (F.col("weight") - F.col("__weights"))
+    source = source.join(F.broadcast(whole)).withColumn("__level", level)  # one row
+    line = source.agg(F.max(F.when(F.col("__ratio") >= F.col("__level"), F.col("__level"))).alias("__line"))
+    target = F.least(F.col("__cap"), F.coalesce(F.col("__line") * F.col("__weight"), F.col("__cap")))
+    return source.join(F.broadcast(line)).select("source", "source_size", F.greatest(target, F.lit(0.0)).alias("target"))
 
 
 def thresholds(units: DataFrame, source: DataFrame, rules: Rules) -> DataFrame:
@@ -102,7 +105,7 @@ def taken_times(rules: Rules) -> Column:
     extra = F.col("hash") < F.col("threshold")
     for k in range(rules.top_ups):
         extra = extra | F.coalesce(F.col("hash") == F.col(f"p{k}"), F.lit(False))
-    return F.col("whole") + extra.cast("bigint")
+    return F.least(F.col("whole") + extra.cast("bigint"), F.lit(int(rules.most)).cast("bigint"))
 
 
 def plan(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:

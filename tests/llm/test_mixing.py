@@ -33,3 +33,20 @@ def test_odd_texts(spark, odd):
     assert M.mixed(odd).columns == odd.columns
     assert M.mixed(odd).count() == sum(r.times for r in got)
     assert M.plan(odd.limit(0)).count() == 0
+
+
+def test_none_is_taken_more_than_the_limit(spark):
+    rows = [(k, "", "a") for k in range(39)] + [(39, "a b c d e", "a")] + [(100 + k, "x " * (k % 7), "b") for k in range(60)] + [(k, None, None) for k in range(200, 240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    times = {r.doc_id: r["count"] for r in M.mixed(df).groupBy("doc_id").count().collect()}
+    assert max(times.values()) <= 2 and all(r.times <= 2 and r.taken <= 2 * r.size for r in M.plan(df).collect())
+
+
+def test_many_sources(spark):
+    """Weights go by the sources' order, whatever ranges they are dealt in."""
+    rows = [(k, "w " * (1 + k * 7919 % 13), f"host{k % 700:04d}" if k % 701 else None) for k in range(3000)]
+    con = duckdb.connect()
+    con.register("documents", spark.createDataFrame(rows, "doc_id long, text string, source string").toPandas())
+    want = sorted((a, b, c, round(d, 6)) for a, b, c, d, _ in con.execute(M.ORACLE).fetchall())
+    got = M.plan(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5))
+    assert sorted((r.doc_id, r.size, r.source_size, round(r.target, 6)) for r in got.collect()) == want
