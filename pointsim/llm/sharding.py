@@ -5,10 +5,12 @@ further shard takes only the records that it wins, about its share, and none mov
 
 Slots number a shard's records without gaps, in hash order: records are counted by shard and hash range, the
 counts are summed up in order, and a record's place within its range is added. Ranges hold about ``range_rows``
-records at any size; equal records are counted before they are dealt, so none of them is a hot group.
+records at any size; equal records are counted before they are dealt, so none of them is a hot group, and their slots are
+made in pieces of ``range_rows``.
 
 Defined results: a null text has size 1 and the checksum of no bytes; rows without doc_id share one key, so one
-shard; repeated rows get slots of their own; an empty table gives no rows.
+shard; repeated rows get slots of their own; ties of two draws go to the lower shard, ties of two hashes by doc_id, size and
+checksum; texts of any length count whole; an empty table gives no rows. Extra columns are never read, and ``assigned`` passes them on.
 """
 
 from __future__ import annotations
@@ -63,5 +65,12 @@ def slots(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     inside = F.sum("n").over(W.partitionBy("shard", "range").orderBy("hash", *equal).rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
     units = units.withColumn("__inside", inside)
     units = units.join(count, (F.col("shard") == F.col("__shard")) & (F.col("range") == F.col("__range"))).withColumn("__first", F.col("__before") + F.col("__inside"))
-    out = units.select("*", F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col("n") - 1)).alias("slot"))
+    # copies of one row in pieces, which are dealt anew where there are several
+    step = F.lit(rules.range_rows).cast("bigint")
+    last = F.col("__first") + F.col("n") - 1
+    if units.where(F.col("n") > rules.range_rows).isEmpty():
+        pieces = units.withColumn("__from", F.col("__first"))
+    else:
+        pieces = units.select("*", F.explode(F.sequence(F.col("__first"), last, step)).alias("__from")).repartition("hash", "__from")
+    out = pieces.select("*", F.explode(F.sequence("__from", F.least(last, F.col("__from") + step - 1))).alias("slot"))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

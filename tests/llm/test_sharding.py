@@ -41,3 +41,9 @@ def test_weights(spark):
     df = spark.range(20000).withColumnRenamed("id", "doc_id")
     n = {r["__shard"]: r["count"] for r in S.assigned(df, S.Rules(weights=(1.0, 3.0))).groupBy("__shard").count().collect()}
     assert abs(n[1] / 20000 - 0.75) < 0.02
+
+
+def test_copies_of_one_row_are_dealt_in_pieces(spark):
+    rows = [(1, "copy")] * 5000 + [(None, None)] * 3000 + [(k, f"t{k}") for k in range(2, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(S.slots(df, S.Rules(range_rows=64)), rows)
