@@ -8,13 +8,15 @@ array operations.
 
 File: blocks, each followed by SEPARATOR, then a footer with the blocks' offsets and lengths. Files
 are written by Spark's own writer (its committer makes them appear whole, on any file system, and
-lost tasks leave nothing behind); a row is a block, the line separator is SEPARATOR.
+lost tasks leave nothing behind); a row is a block, the line separator is SEPARATOR. A file has at most
+``blocks_per_file`` blocks, about 30 MB, whatever its range of doc_ids holds. Files are read once: their totals come from the rows read.
 
 Block, little-endian: magic S8BK, n_docs, n_ids, n_words, n_escapes (u32 each), then doc_id i64[n_docs],
 has_id u8[n_docs], first word, first id, first escape u32[n_docs + 1] each, words u64, escapes u32.
 
 Defined results: a null or empty text is its end id alone; null doc_ids come first; rows of one doc_id
-stay rows of their own, by the hash of their text; an empty table gives no rows.
+stay rows of their own, by the hash of their text; a long text is encoded whole and makes a block longer; an empty table gives no
+rows. Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -45,6 +46,7 @@ class Format:
     tokenizer: str
     end_id: int = 2
     block_ids: int = 1 << 16
+    blocks_per_file: int = 255
 
 
 # ---------------------------------------------------------------- codec
@@ -160,13 +162,27 @@ def file_blocks(data: bytes):
 
 # ---------------------------------------------------------------- write and read
 def write(docs: DataFrame, path: str, form: Format) -> None:
-    """Write doc_id and text of docs as token files in ``path``, one for each range of doc_ids."""
+    """Write doc_id and text of docs as token files in ``path``, in ascending order of doc_id."""
 
     def run(batches):
         made = encoder(form.tokenizer)
         tail = np.array([form.end_id], "<u4").tobytes()
         schema = pa.schema([("block", pa.binary())])
         offsets, at, ids, parts, size = [], 0, [], [], 0
+
+        def closed(last: bool):
+            """The block, and the footer where the file is full or ends."""
+            nonlocal offsets, at, ids, parts, size
+            if parts:
+                block = pack_block(ids, parts)
+                offsets.append(at)
+                at += len(block) + len(SEPARATOR)
+                ids, parts, size = [], [], 0
+                yield C.record(schema, [[block]])
+            if len(offsets) == form.blocks_per_file or last and offsets:
+                yield C.record(schema, [[END + struct.pack("<I", len(offsets)) + np.array(offsets, "<u8").tobytes() + struct.pack("<Q", at)]])
+                offsets, at = [], 0
+
         for batch in batches:
             for i, j in C.pieces(batch.column("text"), 500_000):
                 for k, own in zip(batch.column("doc_id")[i:j].to_pylist(), made.encode_many(batch.column("text")[i:j]), strict=True):
@@ -174,24 +190,14 @@ def write(docs: DataFrame, path: str, form: Format) -> None:
                     parts.append(own.astype("<u4", copy=False).tobytes() + tail)
                     size += len(own) + 1
                     if size >= form.block_ids:
-                        block = pack_block(ids, parts)
-                        offsets.append(at)
-                        at += len(block) + len(SEPARATOR)
-                        ids, parts, size = [], [], 0
-                        yield C.record(schema, [[block]])
-        if parts:
-            block = pack_block(ids, parts)
-            offsets.append(at)
-            at += len(block) + len(SEPARATOR)
-            yield C.record(schema, [[block]])
-        if offsets:
-            yield C.record(schema, [[END + struct.pack("<I", len(offsets)) + np.array(offsets, "<u8").tobytes() + struct.pack("<Q", at)]])
+                        yield from closed(False)
+        yield from closed(True)
 
     tie = F.xxhash64("text")
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("__tie", tie)
     own = own.repartitionByRange("doc_id", "__tie").sortWithinPartitions("doc_id", "__tie").drop("__tie")
     blocks = C.map_arrow(own, run, "block binary")
-    blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode()).text(path)
+    blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode()).option("maxRecordsPerFile", form.blocks_per_file + 1).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -218,28 +224,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return C.map_arrow(files, run, "file string, place long, doc_id long, offset long, n_tokens long, ids_crc32 long")
 
 
-def file_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ids) of each token file, from its blocks' heads."""
-    schema = pa.schema([("file", pa.string()), ("ids", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            sizes = [sum(block.n_ids for block in file_blocks(content.as_buffer())) for content in batch.column("content")]
-            yield C.record(schema, [batch.column("path"), sizes])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return C.map_arrow(files, run, "file string, ids long")
-
-
 def index(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files in ``path``, in order: doc_id, start (ids of all documents before), n_tokens, ids_crc32, file, place.
 
-    One row a file is summed up in order; documents add their offset within the file.
+    Files are summed up in order of their numbers; documents add their offset within the file.
     """
-    before = F.sum("ids").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1))
-    files = file_sizes(spark, path).select(F.col("file").alias("__file"), F.coalesce(before, F.lit(0)).alias("__before"))
-    own = read(spark, path).join(files, F.col("file") == F.col("__file"))
-    return own.select("doc_id", (F.col("__before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", F.regexp_extract("file", "(part-[0-9]+)", 1).alias("file"), "place")
+    number = lambda c, mark: F.regexp_extract(c, mark, 1).cast("bigint")
+    own = C.materialize(read(spark, path), "token-rows")
+    files = own.groupBy("file").agg(F.max(F.col("offset") + F.col("n_tokens")).alias("ids"))
+    files = files.select(F.col("file").alias("__file"), "ids", number("file", "part-([0-9]+)").alias("part"), number("file", "-c([0-9]+)[.][^/-]*$").alias("cut"))
+    files = C.summed_before(files, [F.asc("part"), F.asc("cut")], {"__before": F.col("ids")}, "token-files")
+    name = F.concat_ws("-", F.regexp_extract("file", "(part-[0-9]+)", 1), F.regexp_extract("file", "-(c[0-9]+)[.][^/-]*$", 1))
+    own = own.join(files, F.col("file") == F.col("__file"))
+    return own.select("doc_id", (F.col("__before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", name.alias("file"), "place")
 
 
 def encode(docs: DataFrame, form: Format) -> DataFrame:

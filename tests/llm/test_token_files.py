@@ -56,3 +56,14 @@ def test_small_cache_and_batches():
         for n in (1, 4, 27):
             got = [x.tolist() for i in range(0, 27, n) for x in t.encode_many(pa.array(texts[i : i + n]))]
             assert got == [t.tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_files_are_cut_in_order(spark, rows, tmp_path):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    form = T.Format(PATH, block_ids=200, blocks_per_file=3)
+    T.write(df, str(tmp_path / "t"), form)
+    files = list((tmp_path / "t").glob("part-*"))
+    assert len(files) > 20 and all(0 < len(list(T.file_blocks(f.read_bytes()))) <= 3 for f in files)
+    assert got(T.index(spark, str(tmp_path / "t"))) == want(rows)
+    out = T.encode(df, form).collect()
+    assert len({r.file for r in out}) > 20 and len({(r.file, r.place) for r in out}) == len(out)
