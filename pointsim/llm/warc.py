@@ -2,8 +2,9 @@
 
 Writing: a page whose payload of at least ``least`` bytes equals that of a page with a smaller id becomes a
 revisit record of it. Each record is a gzip member of its own. Files are written by Spark's own writer, whose
-committer makes them appear whole on any file system: a row is a member, and the line separator is an empty
-gzip member, which readers pass over.
+committer makes them appear whole on any file system: a row is some members of about ``chunk_bytes``, and the line separator is an
+empty gzip member, which readers pass over. A file has at most ``chunks_per_file`` rows, so it is bounded in bytes but for its longest
+record. Record ids are unique: a record that others refer to is named by page and digest, any other also by its task and number.
 
 Reading: each file is read from the start; a record must have a version line, its headers, the block that
 Content-Length announces, the blank lines after it, and the announced digest. After a failed check the reader
@@ -14,7 +15,9 @@ beside them. Of a damaged member (not a truncated one) only records whose announ
 
 Defined results: a null html is an empty payload; a null url gives no target; rows without page_id never are
 what others refer to, unless no row of their payload has an id: then all are responses; of repeated rows of one
-page_id and payload, one (the first by url) is the response and the others refer to their own page_id.
+page_id and payload, one (the first by url) is the response and the others refer to their own page_id. Urls, payloads and headers are
+written and read at any length; a file is in memory as a whole when it is read, and Spark reads none above 2 GB. An empty table
+gives no rows. Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -43,7 +46,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 class Rules:
     least: int = 100  # bytes of a payload that others may revisit
     level: int = 6
-    records_per_file: int = 20_000
+    chunk_bytes: int = 1_000_000  # of compressed records in a row of the writer
+    chunks_per_file: int = 64
 
 
 # ---------------------------------------------------------------- records
@@ -51,8 +55,8 @@ def head(fields: list[tuple[str, str | None]]) -> bytes:
     return "WARC/1.1\r\n".encode() + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields if v is not None) + b"\r\n"
 
 
-def name(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def name(page_id: int | None, digest: str, more: str = "") -> str:
+    return f"<urn:page:{'none' if page_id is None else page_id}:{digest[:32]}{more}>"
 
 
 def target(url: str | None) -> str | None:
@@ -60,17 +64,18 @@ def target(url: str | None) -> str | None:
     return None if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, more: str = "") -> bytes:
+    """more: what makes the record's id unique, where no other record refers to it."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", name(page_id)),
+        ("WARC-Record-ID", name(page_id, digest, more)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", target(url)),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"),
-        ("WARC-Refers-To", None if refers_to is None else name(refers_to)),
+        ("WARC-Refers-To", None if refers_to is None else name(refers_to, digest)),
         ("WARC-Profile", None if refers_to is None else PROFILE),
         ("X-Page-Id", None if page_id is None else str(page_id)),
         ("X-Payload-Length", str(len(payload))),
@@ -217,7 +222,7 @@ def _firsts(rows: DataFrame, rules: Rules) -> DataFrame:
 
 
 def plan(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """page_id, url, html with the payload's digest and, for revisits, the page that they refer to."""
+    """page_id, url, html with the payload's digest, for revisits the page that they refer to, and whether others may refer to the row."""
     html = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", F.sha2(html, 256).alias("__digest"), F.octet_length(html).alias("__bytes"))
     firsts = C.materialize(_firsts(rows, rules), "payloads")
@@ -225,12 +230,16 @@ def plan(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
     first = F.col("page_id").eqNullSafe(F.col("__page"))
     refers = F.when(F.col("__page").isNotNull() & ~first, F.col("__page"))
     names = ["page_id", "url", "html", F.col("__digest").alias("digest")]
-    if firsts.where("__again > 1").isEmpty():
-        return rows.select(*names, refers.alias("refers_to"))
+    referred = F.coalesce(first & F.col("__page").isNotNull(), F.lit(False)).alias("referred")
     again = first & (F.col("__again") > 1)
-    place = F.row_number().over(W.partitionBy("__digest").orderBy("url"))
-    repeated = rows.where(again).withColumn("__k", place).select(*names, F.when(F.col("__k") > 1, F.col("__page")).alias("refers_to"))
-    return rows.where(~F.coalesce(again, F.lit(False))).select(*names, refers.alias("refers_to")).unionByName(repeated)
+    if firsts.where("__again > 1").isEmpty():
+        return rows.select(*names, refers.alias("refers_to"), referred)
+    # one of the rows that repeat a page: the least by url and place, without a group in one task
+    repeated = C.materialize(rows.where(again).withColumn("__place", F.monotonically_increasing_id()), "repeated")
+    one = repeated.groupBy("__digest").agg(F.min(F.struct("url", "__place")).alias("__one")).select(F.col("__one.__place").alias("__one"))
+    repeated = repeated.join(one, F.col("__place") == F.col("__one"), "left").select(*names, F.when(F.col("__one").isNull(), F.col("__page")).alias("refers_to"), F.col("__one").isNotNull().alias("referred"))
+    single = rows.where(~F.coalesce(again, F.lit(False))).select(*names, refers.alias("refers_to"), referred)
+    return single.unionByName(repeated)
 
 
 def write(pages: DataFrame, path: str, rules: Rules = Rules()) -> None:
@@ -239,17 +248,29 @@ def write(pages: DataFrame, path: str, rules: Rules = Rules()) -> None:
 
     def run(batches):
         info = head([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:info>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields"), ("Content-Length", "0")]) + b"\r\n\r\n"
-        fresh = True
+        task = TaskContext.get().partitionId()
+        held, size, chunks, records = [], 0, 0, 0
+
+        def chunk():
+            nonlocal held, size, chunks
+            start = [member(info, rules.level)] if chunks % rules.chunks_per_file == 0 else []
+            out = b"".join([*start, *held])
+            held, size, chunks = [], 0, chunks + 1
+            return C.record(schema, [[out]])
+
         for batch in batches:
             for i, j in C.pieces(batch.column("html"), 4_000_000):
-                out = [member(info, rules.level)] if fresh else []
-                fresh = False
-                for page_id, url, html, digest, refers_to in zip(*(batch.column(k)[i:j].to_pylist() for k in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
-                    out.append(member(make_record(page_id, url, (html or "").encode(), digest, refers_to), rules.level))
-                yield C.record(schema, [out])
+                for page_id, url, html, digest, refers_to, referred in zip(*(batch.column(k)[i:j].to_pylist() for k in ("page_id", "url", "html", "digest", "refers_to", "referred")), strict=True):
+                    records += 1
+                    held.append(member(make_record(page_id, url, (html or "").encode(), digest, refers_to, "" if referred else f":{task}.{records}"), rules.level))
+                    size += len(held[-1])
+                    if size >= rules.chunk_bytes:
+                        yield chunk()
+        if held:
+            yield chunk()
 
     members = C.map_arrow(plan(pages, rules), run, "member binary").select(F.col("member").cast("string").alias("value"))
-    members.write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", rules.records_per_file).text(path)
+    members.write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", rules.chunks_per_file).text(path)
 
 
 # ---------------------------------------------------------------- read
@@ -257,7 +278,7 @@ COLUMNS = "file string, kind string, start long, end long, reason string, page_i
 
 
 def _page(urn: str | None) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
+    found = re.fullmatch(r"<urn:page:(-?\d+):[0-9a-f]+>", urn or "")
     return int(found[1]) if found else None
 
 

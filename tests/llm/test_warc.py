@@ -115,3 +115,21 @@ def test_records_of_one_member(level):
     cut = len(whole) // 2
     ids, gaps = kept(whole[:cut] + after)
     assert ids[-1] == 11 and ids[:-1] == list(range(len(ids) - 1)) and len(ids) >= 5 and len(gaps) == 1
+
+
+def test_ids_are_unique_and_files_are_cut_by_bytes(spark, tmp_path):
+    noise = lambda k: hashlib.sha256(str(k).encode()).hexdigest() * 40
+    rows = [(k, f"u{k}", noise(k)) for k in range(200)] + [(5, "u5", noise(5))] * 50 + [(None, "n", noise(5))] * 3 + [(7, "s", "short")] * 4 + [(8, "long/" + "y" * 1_000_000, noise(8))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    rules = A.Rules(chunk_bytes=5_000, chunks_per_file=4)
+    A.write(pages, str(tmp_path / "a"), rules)
+    files = [f.read_bytes() for f in (tmp_path / "a").glob("part-*")]
+    assert len(files) > 4 and all(len(f) < 40_000 for f in files)
+    heads = [x[3][0] for f in files for x in A.salvage(f)]
+    assert all(f.startswith(A.GZIP) and next(A.salvage(f))[3][0]["warc-type"] == "warcinfo" for f in files)
+    ids = [h["warc-record-id"] for h in heads if h["warc-type"] != "warcinfo"]
+    assert len(ids) == len(set(ids)) == len(rows)
+    assert {h["warc-refers-to"] for h in heads if h["warc-type"] == "revisit"} <= set(ids)
+    got = A.read(spark, str(tmp_path / "a")).collect()
+    assert len(got) == len(rows) and sum(r.record_type == "revisit" for r in got if r.page_id == 5) == 50
+    assert max(len(r.url or "") for r in got) > 1_000_000 and A.gaps(spark, str(tmp_path / "a")).count() == 0
