@@ -38,3 +38,8 @@ def hamming(shared: Column, a: Column, b: Column) -> Column:
 def jaccard(shared: Column, a: Column, b: Column) -> Column:
     """1 - shared / union."""
     return F.lit(1.0) - shared / (a + b - shared)
+
+
+def closeness(shared: Column, a: Column, b: Column) -> Column:
+    """Falls as the angle grows. Equal fractions are equal numbers, unlike their angles: ranks go by it."""
+    return shared.cast("double") * shared / (a * b)

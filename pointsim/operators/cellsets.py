@@ -7,11 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import angular, hamming, jaccard
-from ..functions.distance import SetMetric
+from ..functions.distance import SetMetric, closeness
 from ..params import GridParams, check_k
 from ..storage import materialize
+from .ordered import summed_before
 from .postings import set_postings
-from .ranking import top_distances
+from .ranking import top
 
 METRICS: dict[str, SetMetric] = {"angular": angular, "hamming": hamming, "jaccard": jaccard}
 
@@ -33,54 +34,75 @@ def inner_products(index: DataFrame, query: DataFrame) -> DataFrame:
 def _first_disjoint(sizes: DataFrame, pairs: DataFrame, queries: DataFrame, k: int, order: list) -> DataFrame:
     """(query_id, cloud_id, n): the first k clouds in ``order`` that share no cell with the query.
 
-    A list of the first T clouds, ranked, serves all queries if each finds k disjoint ones in it; else T is doubled. The i-th
-    cloud of the list that a query does share cells with, at rank r, has r - i disjoint ones before it; so the j-th disjoint one has
-    rank j plus the number of shared ones with r - i < j. Each query makes k rows, whatever T is.
+    Every cloud has its place in the order. The i-th cloud that a query does share cells with, at place r, has r - i disjoint
+    ones before it; so the j-th disjoint one has place j plus the number of shared ones with r - i < j. Each query makes k rows.
     """
-    t, total = 2 * k, sizes.count()
-    while True:
-        head = sizes.orderBy(*order).limit(t).withColumn("rank", F.row_number().over(W.orderBy(*order)))
-        head = materialize(head, "set-head")
-        hits = pairs.join(head.select("cloud_id", "rank"), "cloud_id").select("query_id", "rank")
-        hits = hits.withColumn("before", F.col("rank") - F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
-        steps = materialize(hits.groupBy("query_id", "before").agg(F.count("*").alias("cnt")), "set-steps")
-        if t >= total or steps.groupBy("query_id").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") > t - k).isEmpty():
-            break
-        t *= 2
-    own = steps.where(F.col("before") < k).groupBy("query_id").agg(F.collect_list(F.struct("before", "cnt")).alias("steps"))
+    placed = summed_before(sizes, order, {"rank": F.lit(1)}, "set-places").withColumn("rank", F.col("rank") + 1)
+    hits = pairs.join(placed.select("cloud_id", "rank"), "cloud_id").select("query_id", "rank")
+    hits = hits.withColumn("before", F.col("rank") - F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
+    steps = hits.where(F.col("before") < k).groupBy("query_id", "before").agg(F.count("*").alias("cnt"))
+    own = steps.groupBy("query_id").agg(F.collect_list(F.struct("before", "cnt")).alias("steps"))
     shift = lambda j: F.aggregate(F.filter("steps", lambda s: s["before"] < j), F.lit(0).cast("bigint"), lambda acc, s: acc + s["cnt"])
     ranks = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: j + F.coalesce(shift(j), F.lit(0)))
     wanted = queries.select("query_id").join(own, "query_id", "left").select("query_id", F.explode(ranks).alias("rank"))
-    return wanted.join(head, "rank").select("query_id", "cloud_id", "n")
+    return wanted.join(placed, "rank").select("query_id", "cloud_id", "n")
+
+
+def _shared_pairs(points: DataFrame, qpoints: DataFrame, grid: GridParams) -> DataFrame:
+    index, query = set_postings(points, grid), set_postings(qpoints, grid, "query_id")
+    return inner_products(index, query).join(set_sizes(index, "cloud_id"), "cloud_id").join(set_sizes(query, "query_id").withColumnRenamed("n", "qn"), "query_id")
+
+
+def _measured(pairs: DataFrame, measure: SetMetric) -> DataFrame:
+    return pairs.withColumn("distance", measure(F.col("shared"), F.col("qn"), F.col("n")))
 
 
 def set_distances(points: DataFrame, qpoints: DataFrame, grid: GridParams, metric: str | SetMetric) -> DataFrame:
     """(query_id, cloud_id, shared, qn, n, distance) of the pairs that share a cell."""
-    measure = METRICS[metric] if isinstance(metric, str) else metric
-    index, query = set_postings(points, grid), set_postings(qpoints, grid, "query_id")
-    pairs = inner_products(index, query).join(set_sizes(index, "cloud_id"), "cloud_id").join(set_sizes(query, "query_id").withColumnRenamed("n", "qn"), "query_id")
-    return pairs.withColumn("distance", F.round(measure(F.col("shared"), F.col("qn"), F.col("n")), 9))
+    return _measured(_shared_pairs(points, qpoints, grid), METRICS[metric] if isinstance(metric, str) else metric)
 
 
-def set_knn(points: DataFrame, qpoints: DataFrame, grid: GridParams, k: int, metric: str) -> DataFrame:
-    """(query_id, rank, cloud_id, distance): the k nearest of all sets, those without a shared cell included.
+def set_knn(points: DataFrame, qpoints: DataFrame, grid: GridParams, k: int, metric: str | SetMetric, disjoint: str = "smaller") -> DataFrame:
+    """(query_id, rank, cloud_id, distance): the k nearest of all sets, those without a shared cell included. Distances are shown
+    to 9 places, and ranked as they are; angles by their cosines' squares, which are exact for equal ones.
 
-    Pairs that share a cell come from a join on cells. The distance of others depends on their sizes alone: equal for all
-    by angle and Jaccard, the sum of sizes by Hamming; so only the first k of them can count.
+    Pairs that share a cell come from a join on cells. The distance of others depends on their sizes alone, so only the
+    first k of them can count. ``metric`` may be a function of (shared, size of the query, size of the cloud); ``disjoint`` then says
+    which of the sets without a shared cell are nearer: the ``smaller`` ones, the ``larger`` ones, or all ``alike``.
     """
     check_k(k)
-    pairs = materialize(set_distances(points, qpoints, grid, metric), "set-pairs")
+    named = {"hamming": "smaller", "angular": "alike", "jaccard": "alike"}
+    if isinstance(metric, str) and metric not in METRICS or disjoint not in ("smaller", "larger", "alike"):
+        raise ValueError(f"metric must be a function or one of {sorted(METRICS)}; disjoint smaller, larger or alike")
+    measure, disjoint = (METRICS[metric], named[metric]) if isinstance(metric, str) else (metric, disjoint)
+    exact = (lambda *x: -closeness(*x)) if metric == "angular" else measure
+    names = ["query_id", "cloud_id", "n", "qn", "shared"]
+    pairs = materialize(_shared_pairs(points, qpoints, grid).select(names), "set-pairs")
     sizes = materialize(set_sizes(set_postings(points, grid), "cloud_id"), "set-sizes")
     queries = materialize(set_sizes(set_postings(qpoints, grid, "query_id"), "query_id").withColumnRenamed("n", "qn"), "set-queries")
-    order = [F.asc("n"), F.asc("cloud_id")] if metric == "hamming" else [F.asc("cloud_id")]
-    fill = _first_disjoint(sizes, pairs, queries, k, order).join(queries, "query_id")
-    fill = fill.withColumn("distance", F.round(METRICS[metric](F.lit(0).cast("bigint"), F.col("qn"), F.col("n")), 9))
-    names = ["query_id", "cloud_id", "distance"]
-    return top_distances(pairs.select(names).unionByName(fill.select(names)), k)
-
-
-def near_pairs(points: DataFrame, qpoints: DataFrame, grid: GridParams, metric: str = "angular", most: float = 0.1) -> DataFrame:
-    """(query_id, near): how many clouds lie within ``most`` of each query, 0 included."""
-    query = qpoints.select("query_id").distinct()
-    close = set_distances(points, qpoints, grid, metric).where(F.col("distance") <= most).groupBy("query_id").agg(F.count("*").alias("near"))
-    return query.join(close, "query_id", "left").withColumn("near", F.coalesce("near", F.lit(0)).cast("bigint"))
+    order = {"smaller": [F.asc("n"), F.asc("cloud_id")], "larger": [F.desc("n"), F.asc("cloud_id")], "alike": [F.asc("cloud_id")]}[disjoint]
+    fill = _first_disjoint(sizes, pairs, queries, k, order).join(queries, "query_id").withColumn("shared", F.lit(0).cast("bigint")).select(names)
+    both = _measured(pairs.unionByName(fill), exact)
+    best = top(both, ["query_id"], [F.asc("distance"), F.asc("cloud_id")], k)
+    return _measured(best, measure).select("query_id", "rank", "cloud_id", F.round("distance", 9).alias("distance"))
+
+
+def near_pairs(points: DataFrame, qpoints: DataFrame, grid: GridParams, metric: str | SetMetric = "angular", most: float = 0.1) -> DataFrame:
+    """(query_id, near): how many clouds lie within ``most`` of each query, 0 included, whether they share a cell or not.
+
+    Clouds without a shared cell are counted by size: all of a size are within ``most`` or none; those that do share one are taken
+    off again. The sizes and their counts are one array, at most as long as the grid has cells.
+    """
+    measure = METRICS[metric] if isinstance(metric, str) else metric
+    pairs = materialize(_shared_pairs(points, qpoints, grid), "near-pairs")
+    queries = set_sizes(set_postings(qpoints, grid, "query_id"), "query_id").withColumnRenamed("n", "qn")
+    none = F.lit(0).cast("bigint")
+    apart = measure(none, F.col("qn"), F.col("n")) <= most
+    close = pairs.groupBy("query_id").agg(F.count_if(measure(F.col("shared"), F.col("qn"), F.col("n")) <= most).alias("__near"), F.count_if(apart).alias("__off"))
+    counts = set_sizes(set_postings(points, grid), "cloud_id").groupBy("n").agg(F.count("*").alias("cnt"))
+    counts = counts.agg(F.collect_list(F.struct("n", "cnt")).alias("__sizes"))
+    own = queries.select("qn").distinct().join(F.broadcast(counts))  # one row
+    total = F.aggregate(F.filter("__sizes", lambda s: measure(none, F.col("qn"), s["n"]) <= most), none, lambda acc, s: acc + s["cnt"])
+    own = own.select("qn", total.alias("__all"))
+    near = F.col("__all") + F.coalesce("__near", none) - F.coalesce("__off", none)
+    return queries.join(own, "qn").join(close, "query_id", "left").select("query_id", near.alias("near"))

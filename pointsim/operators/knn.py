@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import cell, floor_l2, l2_squared
+from ..functions import cell, floor_l2, l2, l2_squared
 from ..functions.distance import PointMetric
 from ..params import GridParams, check_k
 from ..storage import materialize
@@ -54,41 +54,58 @@ def _plane(x: Column, y: Column) -> tuple[Column, Column]:
     return x, y
 
 
-def _vantage(extent: tuple[float, float, float, float]):
-    """Distances from two corners: two points are never farther apart there than in the plane."""
+def _vantage(extent: tuple[float, float, float, float], metric: PointMetric = l2):
+    """Distances from two corners: by the triangle inequality two points are never farther apart there than by the metric."""
     x0, x1, y0, _ = extent
 
     def coordinates(x: Column, y: Column) -> tuple[Column, Column]:
-        left = F.sqrt(l2_squared(F.lit(x0 - 1.0), F.lit(y0 - 1.0), x, y))
-        right = F.sqrt(l2_squared(F.lit(x1 + 1.0), F.lit(y0 - 1.0), x, y))
-        return left, right
+        return tuple(metric(F.lit(x0 - 1.0 if left else x1 + 1.0), F.lit(y0 - 1.0), x, y).cast("double") for left in (True, False))
 
     return coordinates
 
 
-def point_knn(points: DataFrame, qpoints: DataFrame, internal_k: int, metric: str = "l2", strategy: str = "grid", cell_points: float = 0.1) -> DataFrame:
+def _side(index: DataFrame, coordinates, side: float, most: float) -> float:
+    """A side of cells, ``side`` or a quarter of it, and so on, such that a point's cell holds ``most`` points on average over the points.
+
+    Where points lie close together the average over cells says little: most points can be in one cell.
+    """
+    for _ in range(12):
+        a, b = coordinates(F.col("x"), F.col("y"))
+        full = index.groupBy(F.floor(a / F.lit(side)).alias("a"), F.floor(b / F.lit(side)).alias("b")).agg(F.count("*").cast("double").alias("n"))
+        n, squares = full.agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+        if squares / n <= most or side <= 1e-6:
+            break
+        side = max(side / 4 if squares / n < 64 * most else side / 16, 1e-6)
+    return side
+
+
+def point_knn(points: DataFrame, qpoints: DataFrame, internal_k: int, metric: str | PointMetric = "l2", strategy: str = "grid", cell_points: float = 0.1) -> DataFrame:
     """The internal_k nearest of all indexed points, exactly: (query_id, qx, qy, weight, rank, cloud_id, x, y, distance, taken).
 
-    metric ``l2`` (distance is its square) or ``floor_l2`` (whole numbers). Strategies:
+    metric: ``l2`` (distance is its square), ``floor_l2`` (whole numbers), or a function of columns (qx, qy, x, y) that is a metric:
+    symmetric, 0 for equal points, with the triangle inequality. Strategies:
 
-    * ``grid``: a query point meets the points of the 3 x 3 cells around it. It is done if its last neighbour is nearer than
-      the border of those cells; the others go on with cells of four times the side, until the cells hold everything.
-    * ``vantage``: the same over the distances from two vantage points instead of coordinates, which bounds any metric.
-    * ``clusters``: points belong to the nearest of m centres, and to a ring around it; a query point first meets the rings
-      near its own, then all rings that may hold a nearer point.
+    * ``grid``, for the named metrics: a query point meets the points of the 3 x 3 cells around it. It is done if its last
+      neighbour is nearer than the border of those cells; the others go on with cells of four times the side, until the cells hold
+      everything.
+    * ``vantage``, for any metric: the same over the distances from two vantage points instead of coordinates.
+    * ``clusters``, for any metric: points belong to the nearest of m centres, and to a ring around it; a query point first meets the
+      rings near its own, then all rings that may hold a nearer point.
 
-    ``cell_points``: how many times internal_k points the first cells hold on average. They are small, for dense places; each
-    further round costs little, as few query points are left.
+    ``cell_points``: how many times internal_k points the first cells hold on average. They are small, and smaller where points lie
+    close together; each further round costs little, as few query points are left.
     """
     check_k(internal_k)
-    if metric not in ("l2", "floor_l2"):
-        raise ValueError("metric must be l2 or floor_l2")
-    measure = l2_squared if metric == "l2" else floor_l2
+    if isinstance(metric, str) and metric not in ("l2", "floor_l2"):
+        raise ValueError("metric must be l2, floor_l2 or a function")
+    if strategy not in ("grid", "vantage", "clusters"):
+        raise ValueError("strategy must be grid, vantage or clusters")
+    if strategy == "grid" and not isinstance(metric, str):
+        raise ValueError("cells of coordinates bound no other metric; use vantage or clusters")
+    measure = {"l2": l2_squared, "floor_l2": floor_l2}[metric] if isinstance(metric, str) else metric
     index, query = _index(points, internal_k), _query(qpoints)
     if strategy == "clusters":
         return _cluster_knn(index, query, internal_k, measure, metric)
-    if strategy not in ("grid", "vantage"):
-        raise ValueError("strategy must be grid, vantage or clusters")
     index, query = materialize(index, "knn-index"), materialize(query, "knn-query")
     size = index.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
     if not size[4]:
@@ -97,10 +114,17 @@ def point_knn(points: DataFrame, qpoints: DataFrame, internal_k: int, metric: st
     if span[0] is None:
         return _empty(query, index, measure)
     extent = min(size[0], span[0]), max(size[1], span[1]), min(size[2], span[2]), max(size[3], span[3])
-    coordinates = _plane if strategy == "grid" else _vantage(extent)
-    reach = 2 * max(extent[1] - extent[0], extent[3] - extent[2], 1e-9) + 2
+    if isinstance(metric, str):
+        coordinates = _plane if strategy == "grid" else _vantage(extent)
+        wide = max(extent[1] - extent[0], extent[3] - extent[2], 1e-9)
+    else:
+        coordinates = _vantage(extent, metric)
+        (a, b), (qa, qb) = coordinates(F.col("x"), F.col("y")), coordinates(F.col("qx"), F.col("qy"))
+        ends = [*index.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first(), *query.agg(F.min(qa), F.max(qa), F.min(qb), F.max(qb)).first()]
+        wide = max(ends[1], ends[5], ends[3], ends[7]) - min(ends[0], ends[4], ends[2], ends[6]) + 1e-9
+    reach = 2 * wide + 2
     per_side = math.sqrt(max(size[4] / (cell_points * internal_k), 1.0))
-    side = max(reach / 2 / per_side, 1e-6)
+    side = _side(index, coordinates, max(reach / 2 / per_side, 1e-6), 8.0 * internal_k)
     done, left = None, query
     while True:
         last = side >= reach
@@ -118,7 +142,7 @@ def _empty(query: DataFrame, index: DataFrame, measure: PointMetric) -> DataFram
     return none.select(*QUERY, F.lit(1).cast("bigint").alias("rank"), "cloud_id", "x", "y", "distance", F.col("cnt").alias("taken"))
 
 
-def _round(index: DataFrame, left: DataFrame, k: int, measure: PointMetric, metric: str, coordinates, side: float, last: bool) -> DataFrame:
+def _round(index: DataFrame, left: DataFrame, k: int, measure: PointMetric, metric: str | PointMetric, coordinates, side: float, last: bool) -> DataFrame:
     """Neighbours from the cells around each query point; sure: no other point can be among them."""
     whole = lambda c: F.floor(c / F.lit(side)).cast("bigint")
     a, b = coordinates(F.col("x"), F.col("y"))
@@ -135,7 +159,7 @@ def _round(index: DataFrame, left: DataFrame, k: int, measure: PointMetric, metr
     # a query point without any candidate keeps a row, to go on
     pairs = dealt.join(cells, ["ca", "cb"], "left").withColumn("distance", measure(F.col("qx"), F.col("qy"), F.col("x"), F.col("y")))
     near = _nearest(pairs, QUERY, k)
-    limit = F.col("bound") * F.col("bound") if metric == "l2" else F.floor("bound")
+    limit = {"l2": F.col("bound") * F.col("bound"), "floor_l2": F.floor("bound")}[metric] if isinstance(metric, str) else F.col("bound")
     own = W.partitionBy(*QUERY)
     sure = F.lit(last) | F.coalesce((F.sum("taken").over(own) >= k) & (F.max("distance").over(own) < limit), F.lit(False))
     return near.withColumn("sure", sure).select(*QUERY, "rank", "cloud_id", "x", "y", "distance", "taken", "sure")
@@ -147,17 +171,18 @@ def cluster_centres(points: DataFrame, m: int) -> list[tuple[float, float]]:
     return [(r.x, r.y) for r in rows]
 
 
-def centre_distances(centres: list[tuple[float, float]], x: Column, y: Column, radii: list[float] | None = None) -> Column:
-    """(squared distance, number, radius) of every centre, in an array of known length."""
+def centre_distances(centres: list[tuple[float, float]], x: Column, y: Column, radii: list[float] | None = None, metric: PointMetric = l2_squared) -> Column:
+    """(distance, number, radius) of every centre, in an array of known length; by default the distance's square."""
     parts = zip(centres, radii or [0.0] * len(centres), strict=True)
     literal = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k).alias("centre"), F.lit(float(r)).alias("radius")) for k, ((a, b), r) in enumerate(parts)))
-    return F.transform(literal, lambda c: F.struct(l2_squared(c["a"], c["b"], x, y).alias("d2"), c["centre"].alias("centre"), c["radius"].alias("radius")))
+    return F.transform(literal, lambda c: F.struct(metric(c["a"], c["b"], x, y).alias("d2"), c["centre"].alias("centre"), c["radius"].alias("radius")))
 
 
-def assign_centres(points: DataFrame, centres: list[tuple[float, float]]) -> DataFrame:
+def assign_centres(points: DataFrame, centres: list[tuple[float, float]], metric: PointMetric | None = None) -> DataFrame:
     """points with ``centre`` and ``distance`` to it: the nearest, then the lowest number. A projection without a join."""
-    best = F.array_min(centre_distances(centres, F.col("x"), F.col("y")))
-    return points.withColumn("__best", best).withColumn("centre", F.col("__best.centre").cast("bigint")).withColumn("distance", F.sqrt("__best.d2")).drop("__best")
+    best = F.array_min(centre_distances(centres, F.col("x"), F.col("y"), metric=metric or l2_squared))
+    own = F.sqrt("__best.d2") if metric is None else F.col("__best.d2").cast("double")
+    return points.withColumn("__best", best).withColumn("centre", F.col("__best.centre").cast("bigint")).withColumn("distance", own).drop("__best")
 
 
 def covering_radii(assigned: DataFrame) -> DataFrame:
@@ -165,26 +190,27 @@ def covering_radii(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("centre").agg(F.max("distance").alias("radius"), F.count("*").alias("members"))
 
 
-def _cluster_knn(index: DataFrame, query: DataFrame, k: int, measure: PointMetric, metric: str, most: int = 1024) -> DataFrame:
+def _cluster_knn(index: DataFrame, query: DataFrame, k: int, measure: PointMetric, metric: str | PointMetric, most: int = 1024) -> DataFrame:
     index = materialize(index, "knn-index")
     n = index.count()
     if not n:
         return _empty(query, index, measure)
     # so many clusters that assigning points and searching clusters cost alike, within what a literal array should hold
     centres = cluster_centres(index, min(most, max(8, math.isqrt(n))))
-    members = materialize(assign_centres(index, centres).withColumnRenamed("distance", "__own"), "knn-clusters")
+    own = None if isinstance(metric, str) else metric
+    members = materialize(assign_centres(index, centres, own).withColumnRenamed("distance", "__own"), "knn-clusters")
     radii = {r.centre: r.radius for r in members.groupBy("centre").agg(F.max("__own").alias("radius")).collect()}  # a row a centre
     width = max(sum(radii.values()) / len(radii) / 8, 1e-6)
     ring = lambda c: F.floor(c / F.lit(width)).cast("bigint")
     index = members.withColumn("ring", ring(F.col("__own"))).drop("__own")
-    to = F.transform(centre_distances(centres, F.col("qx"), F.col("qy"), [radii.get(i, -1.0) for i in range(len(centres))]), lambda c: F.struct(F.sqrt(c["d2"]).alias("d"), c["centre"].alias("centre"), c["radius"].alias("radius")))
+    to = F.transform(centre_distances(centres, F.col("qx"), F.col("qy"), [radii.get(i, -1.0) for i in range(len(centres))], own or l2_squared), lambda c: F.struct((c["d2"].cast("double") if own else F.sqrt(c["d2"])).alias("d"), c["centre"].alias("centre"), c["radius"].alias("radius")))
     measured = lambda df: df.withColumn("distance", measure(F.col("qx"), F.col("qy"), F.col("x"), F.col("y")))
     first = query.withColumn("__to", F.array_min(to)).withColumn("centre", F.col("__to.centre").cast("bigint")).withColumn("__d", F.col("__to.d")).drop("__to")
     first = first.withColumn("ring", F.explode(F.sequence(ring(F.col("__d")) - 1, ring(F.col("__d")) + 1))).drop("__d")
     near = _nearest(measured(first.join(index, ["centre", "ring"])), QUERY, k)
     tau = near.groupBy(QUERY).agg(F.when(F.sum("taken") >= k, F.max("distance")).alias("__tau"))
     # as far as the last one so far: in a nearer point's cluster, distances to the centre differ by no more; floors reach up to 1 further
-    reach = F.sqrt("__tau") if metric == "l2" else F.col("__tau") + 1
+    reach = {"l2": F.sqrt("__tau"), "floor_l2": F.col("__tau") + 1}[metric] if isinstance(metric, str) else F.col("__tau").cast("double")
     reach = F.coalesce(reach * F.lit(1 / SAFE) + F.lit(1e-6), F.lit(1e300))
     rings = F.transform(to, lambda c: F.struct(c["centre"].cast("bigint").alias("centre"), ring(F.greatest(c["d"] - F.col("__reach"), F.lit(0.0))).alias("lo"), ring(F.least(c["d"] + F.col("__reach"), c["radius"])).alias("hi"), c["radius"].alias("radius")))
     rings = F.filter(rings, lambda c: (c["radius"] >= 0) & (c["lo"] <= c["hi"]))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import floor_l2, l2_squared
-from ..functions.distance import PointMetric
+from ..functions.distance import PointMetric, SetMetric
 from ..operators.cellsets import set_knn
 from ..operators.evaluate import recall
 from ..operators.fingerprints import fingerprint_votes, fingerprints
@@ -28,14 +28,18 @@ KINDS = {
     "rtree": "Point neighbours, grid plan",
     "vpt": "Point neighbours, vantage plan",
     "bkt": "Point neighbours, whole-number distance",
-    "revlc": "Point neighbours",
+    "revlc": "Point neighbours, cluster plan",
     "grid_rtree": "Cell neighbours",
     "grid_vpt": "Cell neighbours, any metric",
     "fingerprint": "Constellation fingerprints",
     "set_angular": "Cell sets, angular distance",
     "set_hamming": "Cell sets, Hamming distance",
     "set_jaccard": "Cell sets, Jaccard distance",
+    "set": "Cell sets, any metric",
 }
+#: The plan of each kind that searches all points.
+PLANS = {"rtree": "grid", "vpt": "vantage", "bkt": "grid", "revlc": "clusters"}
+ANY_METRIC = ("vpt", "revlc", "bkt", "grid_rtree", "grid_vpt", "set")
 UNITS = {"s": 1.0, "ms": 1e3, "us": 1e6}
 
 
@@ -65,12 +69,21 @@ class PerformanceReport:
 class CloudIndex:
     """An index of clouds. ``points``: (cloud_id, x, y); queries: (query_id, x, y).
 
-    All neighbour kinds answer alike under one metric; ``plan`` (grid, vantage, clusters) overrides how.
+    All neighbour kinds answer alike under one metric; ``plan`` (grid, vantage, clusters) overrides how. ``metric``: a function of
+    columns, for points (qx, qy, x, y) of kinds vpt, revlc, bkt, grid_rtree and grid_vpt, for sets (shared, size, size) of kind ``set``;
+    ``disjoint`` as in ``set_knn``. The other kinds have a metric of their own, and take none.
     """
 
-    def __init__(self, kind: str, points: DataFrame, grid: GridParams = GridParams(), prints: FingerprintParams = FingerprintParams(), internal_k: int = 1, metric: PointMetric | None = None, index_zone: str = "closed", query_zone: str = "open", literal_last_skip: bool = False, plan: str | None = None):
+    def __init__(self, kind: str, points: DataFrame, grid: GridParams = GridParams(), prints: FingerprintParams = FingerprintParams(), internal_k: int = 1, metric: PointMetric | SetMetric | None = None, index_zone: str = "closed", query_zone: str = "open", literal_last_skip: bool = False, plan: str | None = None, disjoint: str = "smaller"):
         if kind not in KINDS:
             raise ValueError(f"kind must be one of {sorted(KINDS)}")
+        if metric is not None and kind not in ANY_METRIC:
+            raise ValueError(f"kind {kind} has a metric of its own")
+        if kind == "set" and metric is None:
+            raise ValueError("kind set needs a metric")
+        if plan is not None and kind not in PLANS:
+            raise ValueError(f"a plan is for kinds {sorted(PLANS)}")
+        self.disjoint = disjoint
         self.kind, self.grid, self.prints, self.internal_k = kind, grid, prints, check_k(internal_k)
         self.plan = plan
         self.metric, self.index_zone, self.query_zone, self.literal_last_skip = metric, index_zone, query_zone, literal_last_skip
@@ -110,16 +123,18 @@ class CloudIndex:
             return fingerprint_votes(self.table, queries, self.prints, self.query_zone)
         if self.kind in ("grid_rtree", "grid_vpt"):
             return knn_votes(cell_knn(self.table, queries, self.grid, self.internal_k, self.metric or l2_squared))
-        if self.kind.startswith("set_"):
+        if self.kind.startswith("set"):
             raise ValueError("sets are ranked by distance, not votes")
-        plan = self.plan or {"rtree": "grid", "vpt": "vantage", "bkt": "grid", "revlc": "grid"}[self.kind]
-        metric = "floor_l2" if self.kind == "bkt" or self.metric is floor_l2 else "l2"
+        metric = "floor_l2" if self.kind == "bkt" and self.metric is None or self.metric is floor_l2 else self.metric
+        metric = "l2" if metric is None or metric is l2_squared else metric
+        # coordinates bound the named metrics only
+        plan = self.plan or ("vantage" if self.kind == "bkt" and not isinstance(metric, str) else PLANS[self.kind])
         return knn_votes(point_knn(self.table, queries, self.internal_k, metric, plan))
 
     def knn(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, rank, cloud_id, votes), or distance instead of votes for sets."""
-        if self.kind.startswith("set_"):
-            return set_knn(self.table, queries, self.grid, k, self.kind[4:])
+        if self.kind.startswith("set"):
+            return set_knn(self.table, queries, self.grid, k, self.metric or self.kind[4:], self.disjoint)
         return top_votes(self.votes(queries), k)
 
     def intersection(self, queries: DataFrame, delta: float, epsilon: float = 0.0) -> DataFrame:

@@ -89,7 +89,7 @@ def _recall(answered: bool = False) -> str:
 def _neighbours(k: int, metric: str, cell: GridParams | None = None, reach: float = FAR) -> str:
     """CTEs up to n: the nearest k points of each distinct query point."""
     d2 = "(a.x - e.x) * (a.x - e.x) + (a.y - e.y) * (a.y - e.y)"
-    d = {"l2": d2, "floor_l2": f"floor(sqrt({d2}))::BIGINT", "plain": f"sqrt({d2})"}[metric]
+    d = {"l2": d2, "floor_l2": f"floor(sqrt({d2}))::BIGINT", "plain": f"sqrt({d2})", "l1": "abs(a.x - e.x) + abs(a.y - e.y)", "floor_l1": "(abs(floor(a.x) - floor(e.x)) + abs(floor(a.y) - floor(e.y)))::BIGINT"}[metric]
     on = "true"
     if cell is not None:
         own = lambda t: _cell(cell).replace("(x /", f"({t}.x /").replace("(y /", f"({t}.y /")
@@ -131,6 +131,7 @@ _DISTANCES = {
     "angular": "CASE WHEN shared / (sqrt(qn) * sqrt(n)) >= 1 THEN 0.0::DOUBLE ELSE acos(shared / (sqrt(qn) * sqrt(n))) END",
     "hamming": "(qn + n - 2 * shared)::DOUBLE",
     "jaccard": "1.0::DOUBLE - shared / (qn + n - shared)",
+    "dice": "1.0::DOUBLE - 2 * shared / (qn + n)",
 }
 
 
@@ -348,6 +349,29 @@ def revlc_knn_top5(spark, sf):
     return CloudIndex("revlc", ev(spark, sf), internal_k=3).knn(far(spark, sf), 5)
 
 
+def l1(qx, qy, x, y):
+    return F.abs(qx - x) + F.abs(qy - y)
+
+
+def floor_l1(qx, qy, x, y):
+    return (F.abs(F.floor(qx) - F.floor(x)) + F.abs(F.floor(qy) - F.floor(y))).cast("bigint")
+
+
+@query(f"{_neighbours(3, 'l1')}, {_top(5)} SELECT * FROM ranked")
+def vpt_knn_l1(spark, sf):
+    return CloudIndex("vpt", ev(spark, sf), internal_k=3, metric=l1).knn(far(spark, sf), 5)
+
+
+@query(f"{_neighbours(3, 'l1')}, {_top(5)} SELECT * FROM ranked")
+def revlc_knn_l1(spark, sf):
+    return CloudIndex("revlc", ev(spark, sf), internal_k=3, metric=l1).knn(far(spark, sf), 5)
+
+
+@query(f"{_neighbours(1, 'floor_l1')}, {_top(5)} SELECT * FROM ranked")
+def bkt_knn_custom(spark, sf):
+    return CloudIndex("bkt", ev(spark, sf), internal_k=1, metric=floor_l1).knn(far(spark, sf), 5)
+
+
 @query(_neighbours(3, "l2") + " " + _NEIGHBOUR_ROWS)
 def point_knn_clusters(spark, sf):
     return _neighbour_rows(knn.point_knn(ev(spark, sf), far(spark, sf), 3, strategy="clusters"))
@@ -452,6 +476,16 @@ def set_near_dup_count(spark, sf):
     return cellsets.near_pairs(ev(spark, sf), far(spark, sf), GRID, "angular", 1.2)
 
 
+@query(_SETS.replace("{d}", _DISTANCES["hamming"]) + " SELECT query_id, count(*) FILTER (distance <= 130)::BIGINT AS near FROM d GROUP BY ALL")
+def set_near_dup_hamming(spark, sf):
+    return cellsets.near_pairs(ev(spark, sf), far(spark, sf), GRID, "hamming", 130.0)
+
+
+@query(_set_top("dice", 5) + " SELECT * FROM ranked")
+def set_knn_dice(spark, sf):
+    return CloudIndex("set", ev(spark, sf), GRID, metric=lambda shared, a, b: F.lit(1.0) - 2 * shared / (a + b), disjoint="alike").knn(far(spark, sf), 5)
+
+
 @query(f"{_set_top('angular', 20)} SELECT k::BIGINT AS k, (SELECT count(*) FROM ranked WHERE cloud_id = query_id AND rank <= k) / (SELECT count(DISTINCT query_id) FROM q)::DOUBLE AS recall FROM (SELECT unnest([5, 10, 20]) AS k)")
 def set_recall(spark, sf):
     queries = far(spark, sf)

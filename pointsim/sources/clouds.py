@@ -16,13 +16,14 @@ def within(bounds: tuple[float, float]) -> Column:
 
 
 def read_clouds_csv(spark: SparkSession, path: str, bounds: tuple[float, float] | None = (0, 10_000), header: bool = True, mode: str = "FAILFAST") -> DataFrame:
-    """Lines ``id, x, y``. Blanks around fields are dropped, blank lines skipped, ids truncated to whole numbers.
+    """Lines ``id, x, y``. Blanks around fields are dropped, blank lines skipped, ids truncated to whole numbers; lines with a
+    negative id are dropped.
 
     mode: FAILFAST raises on a malformed line, DROPMALFORMED drops it. bounds None keeps every line. Lines have no number of
     their own; point_id is null.
     """
     rows = spark.read.schema(SCHEMA).csv(path, header=header, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, nanValue="nan", mode=mode, enforceSchema=True)
-    rows = rows.where(F.col("cloud_id").isNotNull())
+    rows = rows.where(F.col("cloud_id") >= 0)
     if bounds is not None:
         rows = rows.where(within(bounds))
     return rows.select(F.col("cloud_id").cast("bigint").alias("cloud_id"), F.lit(None).cast("bigint").alias("point_id"), "x", "y")

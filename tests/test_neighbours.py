@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from pointsim.functions import floor_l2, l2
 from pointsim.operators import knn
@@ -83,3 +84,48 @@ def test_centres_and_radii(cloud):
     assigned = knn.assign_centres(points, [(0.0, 0.0), (10.0, 0.0)])
     assert [(r.centre, r.distance) for r in assigned.orderBy("point_id").collect()] == [(0, 0.0), (0, 5.0), (1, 0.0), (0, 5.0)]
     assert sorted(map(tuple, knn.covering_radii(assigned).collect())) == [(0, 5.0, 3), (1, 0.0, 1)]
+
+
+METRICS = {
+    "l1": (lambda qx, qy, x, y: F.abs(qx - x) + F.abs(qy - y), lambda qx, qy, x, y: abs(qx - x) + abs(qy - y)),
+    "max": (lambda qx, qy, x, y: F.greatest(F.abs(qx - x), F.abs(qy - y)), lambda qx, qy, x, y: max(abs(qx - x), abs(qy - y))),
+    "whole": (lambda qx, qy, x, y: F.greatest(F.abs(F.floor(qx) - F.floor(x)), F.abs(F.floor(qy) - F.floor(y))), lambda qx, qy, x, y: max(abs(qx // 1 - x // 1), abs(qy // 1 - y // 1))),
+}
+
+
+@pytest.mark.parametrize("name", sorted(METRICS))
+@pytest.mark.parametrize("strategy", ["vantage", "clusters"])
+def test_any_metric(cloud, name, strategy):
+    column, plain = METRICS[name]
+    points, queries = spread(100, 6), [*spread(30, 7), (1, 0.0, 0.0)]
+    want = Counter()
+    for q, qx, qy in queries:
+        for dist, c, x, y in sorted((plain(qx, qy, x, y), c, x, y) for c, x, y in points)[:3]:
+            want[q, qx, qy, c, x, y, dist] += 1
+    assert found(knn.point_knn(cloud(points), cloud(queries, "query_id"), 3, column, strategy)) == want
+
+
+def test_metric_is_used_or_refused(cloud):
+    points, queries = cloud([(1, 0.0, 5.0), (2, 4.0, 4.0)]), cloud([(7, 0.0, 0.0)], "query_id")  # by the largest coordinate 2 is nearer
+    column = METRICS["max"][0]
+    for kind in ("vpt", "revlc", "bkt", "grid_vpt", "grid_rtree"):
+        assert CloudIndex(kind, points, metric=column).knn(queries, 1).first().cloud_id == 2
+    assert CloudIndex("vpt", points).knn(queries, 1).first().cloud_id == 1
+    for kind in ("rtree", "grid", "succinct", "fingerprint", "set_hamming"):
+        with pytest.raises(ValueError):
+            CloudIndex(kind, points, metric=column)
+    with pytest.raises(ValueError):
+        knn.point_knn(points, queries, 1, column, "grid")
+    with pytest.raises(ValueError):
+        CloudIndex("grid", points, plan="grid")
+
+
+def test_nearly_all_points_in_one_place(cloud):
+    draw = random.Random(8)
+    points = [(k % 7, 5000 + draw.random(), 5000 + draw.random()) for k in range(990)] + [(9, draw.random() * 10_000, draw.random() * 10_000) for _ in range(10)]
+    queries = [(k, 5000 + draw.random(), 5000 + draw.random()) for k in range(60)] + [(99, draw.random() * 10_000, draw.random() * 10_000) for _ in range(5)]
+    for strategy in ("grid", "vantage"):
+        assert found(knn.point_knn(cloud(points), cloud(queries, "query_id"), 2, "l2", strategy)) == brute(points, queries, 2, "l2")
+    table = cloud(points)
+    side = knn._side(knn._index(table, 2), knn._plane, 10_000.0, 16.0)
+    assert max(r["count"] for r in table.groupBy(F.floor(F.col("x") / side), F.floor(F.col("y") / side)).count().collect()) < 100

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from pointsim.operators import cellsets, fingerprints, intersect
 from pointsim.params import FingerprintParams, GridParams
@@ -109,3 +110,27 @@ def test_fingerprints_find_a_shifted_cloud(cloud):
     index = CloudIndex("fingerprint", cloud(points), prints=FingerprintParams(delta_x=30, delta_y=30))
     best = {r.query_id: r.cloud_id for r in index.knn(cloud(moved, "query_id"), 1).collect()}
     assert best == {c: c for c in range(6)}
+
+
+def test_near_counts_sets_without_a_shared_cell(cloud):
+    points = [(1, 5.0, 5.0), (2, 15.0, 15.0), *[(3, 10.0 * k + 5, 95.0) for k in range(9)]]
+    both = cloud([(1, 5.0, 5.0), (2, 15.0, 15.0)])
+    queries = cloud([(1, 5.0, 5.0), (2, 15.0, 15.0)], "query_id")
+    assert rows(cellsets.near_pairs(both, queries, GRID, "hamming", 4)) == [(1, 2), (2, 2)]
+    assert rows(cellsets.near_pairs(cloud(points), queries, GRID, "hamming", 4)) == [(1, 2), (2, 2)]
+    assert rows(cellsets.near_pairs(cloud(points), queries, GRID, "jaccard", 1.0)) == [(1, 3), (2, 3)]
+    assert rows(cellsets.near_pairs(cloud(points).limit(0), queries, GRID, "hamming", 4)) in ([], [(1, 0), (2, 0)])
+
+
+def test_sets_by_any_metric_and_exact_ranks(cloud):
+    points = [(1, 5.0, 5.0), *[(2, 10.0 * k + 5, 95.0) for k in range(4)], *[(3, 10.0 * k + 5, 85.0) for k in range(2)]]
+    queries = cloud([(7, 5.0, 5.0)], "query_id")
+    metric = lambda shared, a, b: F.when(shared > 0, F.lit(0.0)).otherwise(F.lit(100.0) - b)
+    got = rows(cellsets.set_knn(cloud(points), queries, GRID, 3, metric, "larger"))
+    assert got == [(7, 1, 1, 0.0), (7, 2, 2, 96.0), (7, 3, 3, 98.0)]
+    with pytest.raises(ValueError):
+        cellsets.set_knn(cloud(points), queries, GRID, 3, "other")
+    # cosines that differ in the tenth place only
+    close = lambda shared, a, b: F.lit(1.0) - shared * F.lit(1e-12) + a * F.lit(0.0) + b * F.lit(0.0)
+    points = [(1, 5.0, 5.0), (2, 5.0, 5.0), (2, 15.0, 5.0)]
+    assert [r[2] for r in rows(cellsets.set_knn(cloud(points), cloud([(7, 5.0, 5.0), (7, 15.0, 5.0)], "query_id"), GRID, 2, close, "alike"))] == [2, 1]
