@@ -5,16 +5,20 @@ than ``most_words`` words. A line that is found counts by itself; of the other r
 come first, and none that overlaps one before is taken. A run goes by the number of its first line. Its features are its words and pairs of neighbouring words, each counted once. A
 multinomial logistic regression with an L1 penalty, fitted on the driver from the templates below and on paragraphs of a
 bounded sample of documents, gives a family or ``unknown``; a temperature, fitted on rows held out, calibrates
-its probabilities. Predictions below ``threshold`` are unknown. A prediction is confirmed if enough of the pairs of one of
-its family's templates are in the paragraph. Paragraphs without any gate word are not scored: of each template, the
-pairs without a gate word are too few to confirm it, so that this hides nothing.
+its probabilities. Predictions below ``threshold`` are unknown; notices of other families are examples of unknown too. A
+prediction is confirmed if the pairs of one of its family's templates that are in the paragraph make up ``least_pairs`` of
+the template, pairs weighed by how few families have them, and one of them is in no other family. Paragraphs without any gate
+word are not scored: of each template, the pairs without a gate word weigh too little to confirm it, so that this hides nothing.
 
 Defined results: a null or empty text has no paragraphs; repeated rows are scanned alike, each on its own; without
-documents to sample the written negatives alone are the unknown class.
+documents to sample the written negatives alone are the unknown class; of equally probable families the first by name counts; texts of
+any length are scanned whole; an empty table gives no rows. Extra columns are never read. The sample of the fit has at most
+``max_docs`` documents and ``max_paragraphs`` paragraphs of at most ``max_chars`` characters, longer ones left out.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -30,52 +34,75 @@ TEMPLATES = {
     "agpl": [
         "This program is licensed under the GNU Affero General Public License, version 3.",
         "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
     ],
     "apache": [
+        "SPDX-License-Identifier: Apache-2.0",
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     ],
     "bsd": [
+        "SPDX-License-Identifier: BSD-3-Clause",
         "Released under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     ],
     "cc-by": [
+        "SPDX-License-Identifier: CC-BY-4.0",
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ],
     "cc-by-nc": [
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
     "cc-by-sa": [
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ],
     "cc0": [
+        "SPDX-License-Identifier: CC0-1.0",
         "Released under the CC0 1.0 Universal Public Domain Dedication license.",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     ],
     "gpl": [
+        "SPDX-License-Identifier: GPL-3.0-or-later",
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "Licensed under the GPL, version 2 or later.",
     ],
     "lgpl": [
+        "SPDX-License-Identifier: LGPL-2.1-only",
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
     ],
     "mit": [
+        "SPDX-License-Identifier: MIT",
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
     ],
     "mpl": [
+        "SPDX-License-Identifier: MPL-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
     ],
 }
+# fixed values: notices of families that are not told apart, and count as unknown
+OTHERS = {
+    "artistic": ["Released under the Artistic License 2.0.", "SPDX-License-Identifier: Artistic-2.0"],
+    "boost": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "cc-by-nc-nd": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "cc-by-nc-sa": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "cc-by-nd": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "eupl": ["Licensed under the European Union Public Licence, version 1.2.", "SPDX-License-Identifier: EUPL-1.2"],
+    "proprietary": ["This software is licensed under the terms of a commercial license agreement.", "Released under a proprietary license; redistribution is not permitted."],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
+    "zlib": ["Released under the zlib License.", "This software is provided as-is, without any express or implied warranty. SPDX-License-Identifier: Zlib"],
+}
 # fixed values: paragraphs about other things that share words with the templates
 NEGATIVES = [
     "He renewed his driving license last week and paid the fee.",
@@ -98,10 +125,11 @@ NEGATIVES = [
 @dataclass(frozen=True)
 class Rules:
     threshold: float = 0.6
-    least_pairs: float = 0.5  # share of a template's pairs that confirms
+    least_pairs: float = 0.5  # share of a template's pairs, by weight, that confirms
     most_words: int = 100  # of joined lines without the last; the longest template has 42
     max_docs: int = 300  # documents whose paragraphs are sampled as unknown
     max_paragraphs: int = 5000
+    max_chars: int = 20_000  # of a sampled paragraph
     copies: int = 24  # changed copies of each template
     rounds: int = 300
     penalty: float = 2e-4
@@ -117,6 +145,8 @@ class Model:
     gates: list[str]
     pairs: dict[str, list[list[str]]] = field(default_factory=dict)
     least_pairs: float = 1.0  # what the gates are safe for
+    weight: dict[str, float] = field(default_factory=dict)  # of each pair: how few families have it
+    own: dict[str, list[str]] = field(default_factory=dict)  # pairs that no other family has
 
     def gate(self, rules: Rules) -> str:
         """A pattern that every paragraph in lower case has which these rules could confirm."""
@@ -134,12 +164,12 @@ def grams(own: list[str]) -> list[str]:
 
 
 # ---------------------------------------------------------------- fit
-def _examples(negatives: list[list[str]], rules: Rules) -> list[tuple[list[str], str]]:
+def _examples(negatives: list[list[str]], templates: dict[str, list[str]], rules: Rules) -> list[tuple[list[str], str]]:
     """Templates with words dropped, cut short, or with other words around them."""
     draw = np.random.Generator(np.random.PCG64(rules.seed))
     pool = [w for n in negatives for w in n] or ["word"]
     out = []
-    for family, texts in TEMPLATES.items():
+    for family, texts in templates.items():
         for text in texts:
             own = words(text)
             out.append((own, family))
@@ -153,28 +183,43 @@ def _examples(negatives: list[list[str]], rules: Rules) -> list[tuple[list[str],
     return out
 
 
-def _gates(templates: list[list[str]], negatives: list[list[str]], least: float) -> list[str]:
-    """Words, rare in the sampled paragraphs, such that less than the share ``least`` of each template's pairs has none of them."""
+def _pair_weights() -> tuple[dict[str, list[list[str]]], dict[str, float], dict[str, list[str]]]:
+    """Pairs of each family's templates, the weight of each pair, and each family's pairs that no other family has."""
+    pairs_of = lambda texts: [list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))) for w in map(words, texts)]
+    pairs = {f: pairs_of(texts) for f, texts in TEMPLATES.items()}
+    every = pairs | {f"other {f}": pairs_of(texts) for f, texts in OTHERS.items()}
+    count = Counter(p for texts in every.values() for p in {p for t in texts for p in t})
+    weight = {p: round(math.log(len(every) / n) + 0.1, 6) for p, n in count.items()}
+    return pairs, weight, {f: sorted({p for t in texts for p in t if count[p] == 1}) for f, texts in pairs.items()}
+
+
+def _gates(templates: list[list[str]], weight: dict[str, float], negatives: list[list[str]], least: float) -> list[str]:
+    """Words, rare in the sampled paragraphs, such that less than the share ``least`` of each template's weight is in pairs without any of them."""
     common = Counter(w for n in negatives for w in set(n))
-    left, gates = [[p.split(" ") for p in t] for t in templates], []
+    left, gates = [list(t) for t in templates], []
+    total = lambda own: sum(weight[p] for p in own)
     while True:
-        still = [own for own, t in zip(left, templates, strict=True) if len(own) / max(len(t), 1) >= least]
+        still = [own for own, t in zip(left, templates, strict=True) if total(own) >= least * total(t) * (1 - 1e-9)]
         if not still:
             return gates
-        gain = Counter(w for own in still for pair in own for w in set(pair))
+        gain = Counter()
+        for own in still:
+            for pair in own:
+                for w in set(pair.split(" ")):
+                    gain[w] += weight[pair]
         if not gain:
             return [""]
         gates.append(max(sorted(gain), key=lambda w: gain[w] / (1 + common[w])))
-        left = [[pair for pair in own if gates[-1] not in pair] for own in left]
+        left = [[pair for pair in own if gates[-1] not in pair.split(" ")] for own in left]
 
 
 def train(sample: list[str], rules: Rules = Rules()) -> Model:
     """sample: paragraphs of documents, without licences as far as the words license and copyright tell."""
     other = [words(p) for p in sample if not re.search(r"licen[cs]|copyright", p.lower())][: rules.max_paragraphs]
     hard = [words(p) for p in NEGATIVES]
-    examples = _examples(hard + other, rules) + [(w, "unknown") for w in other if w] + [(w, "unknown") for w in hard for _ in range(rules.copies)]
+    examples = _examples(hard + other, TEMPLATES, rules) + [(w, "unknown") for w, _ in _examples(hard + other, OTHERS, rules)] + [(w, "unknown") for w in other if w] + [(w, "unknown") for w in hard for _ in range(rules.copies)]
     families = ["unknown", *TEMPLATES]
-    vocabulary = sorted({g for texts in TEMPLATES.values() for t in texts for g in grams(words(t))})
+    vocabulary = sorted({g for texts in [*TEMPLATES.values(), *OTHERS.values()] for t in texts for g in grams(words(t))})
     number = {g: k for k, g in enumerate(vocabulary)}
     x = np.zeros((len(examples), len(vocabulary)), np.float32)
     for k, (own, _) in enumerate(examples):
@@ -200,15 +245,16 @@ def train(sample: list[str], rules: Rules = Rules()) -> Model:
     grid = np.geomspace(0.1, 10, 41)
     fit = [-np.log(np.maximum(soft(z / t)[np.arange(len(z)), y[held]], 1e-12)).mean() + 1e-3 * abs(np.log(t)) for t in grid]
     used = {g: [round(float(v), 6) for v in w[k]] for g, k in number.items() if w[k].any()}
-    pairs = {f: [grams(words(t))[len(dict.fromkeys(words(t))) :] for t in texts] for f, texts in TEMPLATES.items()}
-    return Model(families, used, [round(float(v), 6) for v in b], float(grid[int(np.argmin(fit))]), _gates([t for v in pairs.values() for t in v], other, rules.least_pairs), pairs, rules.least_pairs)
+    pairs, weighed, own = _pair_weights()
+    gates = _gates([t for v in pairs.values() for t in v], weighed, other, rules.least_pairs)
+    return Model(families, used, [round(float(v), 6) for v in b], float(grid[int(np.argmin(fit))]), gates, pairs, rules.least_pairs, weighed, own)
 
 
 def fit(docs: DataFrame, rules: Rules = Rules()) -> Model:
     """Fit on the paragraphs of at most max_docs documents, which a hash of doc_id picks."""
     ids = docs.where("doc_id is not null").select(F.col("doc_id").alias("__id")).orderBy(F.xxhash64("__id"), "__id").limit(rules.max_docs).distinct()
     # at most max_docs ids: a bounded broadcast
-    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select(F.explode(F.split("text", "\n", -1)).alias("p")).where("length(p) > 0")
+    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select(F.explode(F.split("text", "\n", -1)).alias("p")).where(F.length("p").between(1, rules.max_chars))
     return train([r.p for r in rows.orderBy(F.xxhash64("p"), "p").limit(rules.max_paragraphs).collect()], rules)
 
 
@@ -234,8 +280,14 @@ def score(paragraph: Column, model: Model, rules: Rules) -> Column:
 
     def confirmed(d: Column) -> Column:
         kinds = F.map_from_arrays(F.array(*map(F.lit, model.pairs)), F.array(*(F.array(*(F.array(*map(F.lit, t)) for t in texts)) for texts in model.pairs.values())))
-        shares = F.transform(F.coalesce(F.element_at(kinds, d["family"]), F.array().cast("array<array<string>>")), lambda t: F.size(F.array_intersect(t, pairs)) / F.greatest(F.size(t), F.lit(1)))
-        return F.struct(d["family"].alias("family"), d["probability"].alias("probability"), F.coalesce(F.array_max(shares), F.lit(0.0)).alias("share"))
+        mine = F.map_from_arrays(F.array(*map(F.lit, model.own)), F.array(*(F.array(*map(F.lit, own)) for own in model.own.values())))
+        used = sorted({p for texts in model.pairs.values() for t in texts for p in t})
+        weight = F.map_from_arrays(F.array(*map(F.lit, used)), _array([model.weight[p] for p in used]))
+        total = lambda own: F.aggregate(own, F.lit(0.0), lambda acc, p: acc + F.element_at(weight, p))
+        shares = F.transform(F.coalesce(F.element_at(kinds, d["family"]), F.array().cast("array<array<string>>")), lambda t: total(F.array_intersect(t, pairs)) / total(t))
+        told = F.arrays_overlap(F.element_at(mine, d["family"]), pairs)
+        share = F.when(told, F.coalesce(F.array_max(shares), F.lit(0.0))).otherwise(0.0)
+        return F.struct(d["family"].alias("family"), d["probability"].alias("probability"), share.alias("share"))
 
     once = F.transform(F.array(total), decided)
     return F.element_at(F.transform(once, confirmed), 1)
@@ -263,6 +315,12 @@ def _runs(rules: Rules) -> Column:
     return F.when(lines > 1, F.flatten(F.transform(near, of))).otherwise(F.array().cast("array<struct<n: int, first: int>>"))
 
 
+def _fewest(template: list[str], model: Model, least: float) -> int:
+    """How many pairs of a template reach the least share of its weight."""
+    weight = sorted((model.weight[p] for p in template), reverse=True)
+    return 1 + int(np.sum(np.cumsum(weight) < least * sum(weight) * (1 - 1e-9)))
+
+
 def scan(docs: DataFrame, model: Model, rules: Rules = Rules()) -> DataFrame:
     """Per row of docs: doc_id and found, its licence paragraphs as (paragraph, family, probability, share, text). No shuffle, no Python."""
     gate = model.gate(rules)
@@ -273,11 +331,11 @@ def scan(docs: DataFrame, model: Model, rules: Rules = Rules()) -> DataFrame:
 
     def kept(scored: Column) -> Column:
         flat = F.transform(scored, lambda s: F.struct(s["n"].alias("n"), s["paragraph"].alias("paragraph"), s["got"]["family"].alias("family"), s["got"]["probability"].alias("probability"), s["got"]["share"].alias("share"), s["text"].alias("text")))
-        return F.filter(flat, lambda s: (s["family"] != "unknown") & (s["share"] >= rules.least_pairs))
+        return F.filter(flat, lambda s: (s["family"] != "unknown") & (s["share"] >= rules.least_pairs * (1 - 1e-9)))
 
-    # a run has half a template's pairs only if it has as many of all templates' pairs as half of the shortest
+    # a run has the least share of a template only if it has as many pairs as the heaviest that make it up
     known = F.array(*(F.lit(p) for p in sorted({p for v in model.pairs.values() for t in v for p in t})))
-    fewest = min((len(t) for v in model.pairs.values() for t in v), default=0) * rules.least_pairs
+    fewest = min((_fewest(t, model, rules.least_pairs) for v in model.pairs.values() for t in v), default=0)
 
     rows = docs.select("doc_id", F.when(F.lower("text").rlike(gate), F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>")).alias("__lines"))
     rows = rows.withColumn("__gated", F.transform("__lines", lambda p: F.lower(p).rlike(gate)))

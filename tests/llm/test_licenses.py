@@ -17,8 +17,6 @@ def plain(text, model):
     """(paragraph, family) of a text, a paragraph at a time."""
     out = []
     for k, p in enumerate((text or "").split("\n")):
-        if not any(g in p.lower() for g in model.gates):
-            continue
         own = L.words(p)
         z = list(model.bias)
         for g in L.grams(own):
@@ -27,7 +25,8 @@ def plain(text, model):
         p_top = 1 / sum(math.exp(v - max(z)) for v in z)
         family = model.families[z.index(max(z))]
         pairs = {f"{a} {b}" for a, b in zip(own, own[1:])}
-        share = max((len(pairs & set(t)) / len(set(t)) for t in model.pairs.get(family, [])), default=0)
+        weigh = lambda own: sum(model.weight[p] for p in own)
+        share = max((weigh(pairs & set(t)) / weigh(set(t)) for t in model.pairs.get(family, [])), default=0) * bool(pairs & set(model.own.get(family, [])))
         if p_top >= RULES.threshold and family != "unknown" and share >= RULES.least_pairs:
             out.append(f"{k}:{family}")
     return ",".join(out)
@@ -84,7 +83,37 @@ def test_no_gate_hides_a_notice(spark, model):
     assert [r.families for r in sorted(L.report(df, model).collect(), key=lambda r: r.doc_id)] == [f for _, f in texts]
     gates = set(model.gates)
     for t in (t for v in model.pairs.values() for t in v):
-        assert sum(not gates & set(pair.split(" ")) for pair in t) < RULES.least_pairs * len(t)
+        assert sum(model.weight[pair] for pair in t if not gates & set(pair.split(" "))) < RULES.least_pairs * sum(model.weight[pair] for pair in t)
+
+
+def test_no_fragment_is_lost(spark, model):
+    """All runs of a template's words: what the classifier and the template say, without any gate, is what is found."""
+    texts = []
+    for templates in L.TEMPLATES.values():
+        for t in templates:
+            w = t.split(" ")
+            texts += [" ".join(w[a:b]) for a in range(0, len(w), 3) for b in range(a + 2, len(w) + 1, 2)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.paragraphs for r in L.report(df, model).collect()}
+    assert got == {k: plain(t, model) for k, t in enumerate(texts)} and sum(map(bool, got.values())) > 200
+    (row,) = L.report(spark.createDataFrame([(1, "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License")], "doc_id long, text string"), model).collect()
+    assert row.families == "agpl"
+
+
+LEFT_OUT = [
+    "Licensed under the ISC License.", "Released under the ISC License.", "Released under the Eclipse Public License.", "Licensed under the Eclipse Public License, version 2.0.",
+    "SPDX-License-Identifier: ISC", "SPDX-License-Identifier: EPL-2.0", "Licensed under the SIL Open Font License, Version 1.1.", "Released under the Python Software Foundation License.",
+    "Licensed under the Common Development and Distribution License, version 1.0.", "Licensed under the Microsoft Public License.", "Released under the Zope Public License, version 2.1.",
+    "Licensed under CC BY-ND 4.0.", "Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+]
+
+
+def test_other_families_are_unknown_and_identifiers_are_found(spark, model):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(LEFT_OUT)], "doc_id long, text string")
+    assert [r.families for r in L.report(df, model).collect()] == [""] * len(LEFT_OUT)
+    ids = {"MIT": "mit", "Apache-2.0": "apache", "GPL-3.0-or-later": "gpl", "LGPL-2.1-only": "lgpl", "AGPL-3.0-or-later": "agpl", "BSD-3-Clause": "bsd", "MPL-2.0": "mpl", "CC0-1.0": "cc0", "CC-BY-4.0": "cc-by", "CC-BY-SA-4.0": "cc-by-sa", "CC-BY-NC-4.0": "cc-by-nc"}
+    df = spark.createDataFrame([(k, f"/* SPDX-License-Identifier: {i} */") for k, i in enumerate(ids)], "doc_id long, text string")
+    assert [r.families for r in sorted(L.report(df, model).collect(), key=lambda r: r.doc_id)] == list(ids.values())
 
 
 MIT = """MIT License
