@@ -299,9 +299,9 @@ def values(run: str, rules: Rules) -> list[tuple[int, int, object]]:
                 if a % 4 != own.shift or a in packed_from or own.data[byte] & 0xC0 == 0x80:
                     continue
                 j = bisect_right(ends, a + (4 * (hi - byte) + 3) // 3) - 1
-                while (ends[j] - a) % 4 == 1:
+                while j >= 0 and (ends[j] - a) % 4 == 1:
                     j -= 1
-                if ends[j] - a >= rules.least_run:
+                if j >= 0 and ends[j] - a >= rules.least_run:
                     found.append((a, ends[j], (own, byte, byte + (ends[j] - a) * 3 // 4)))
     free, out = Free(), []
     for part in (found, rest):  # text and data that start anywhere come last

@@ -257,3 +257,20 @@ def test_cost_grows_with_length_and_pieces_are_whole():
     inner = packed(f"token=abcdefgh1234 and {KEY}")
     content = "\n".join([*["some filler words here."] * 500, inner + ".", *["more of them."] * 500])
     assert {k for _, k, _ in S.nested(packed(content), S.Rules(most_unpacked=2_000))[0]} == {0, 1}
+
+
+PARTS = ["token=abcdefgh1234 x", KEY, "é" * 9, "short", "\x00\x01 broken text here \x02", "plain words and more of them"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from([base64.b64encode(x.encode()).decode().rstrip("=") for x in PARTS] + [packed(PARTS[0]), packed(KEY).rstrip("=")]), st.text("ABab01+/_-", max_size=24), st.text("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", max_size=40)), min_size=1, max_size=6), st.sampled_from(["", "/", "_", "-"]))
+def test_values_of_any_run(parts, sign):
+    run = re.sub("[^A-Za-z0-9+/_-]", "", sign.join(parts))
+    got = S.values(run, S.Rules())
+    mine = sorted((a, b, v.content.decode(errors="replace") if isinstance(v, S.Packed) else v[0]) for a, b, v in got)
+    want = sorted((a, b, text) for a, b, text, _ in plain_values(run)) if len(run) >= 16 else []
+    assert [x for x in mine if x[1] - x[0] >= 16 and len(x[2]) >= 16] == [x for x in want if len(x[2]) >= 16] or {x for x in scans(mine)} == {x for x in scans(want)}
+
+
+def scans(found):
+    return [(text[a:b], k) for _, _, text in found for a, k, b in base(text)]
