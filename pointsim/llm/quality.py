@@ -116,7 +116,7 @@ class Text:
         at = np.flatnonzero((self.raw & 0xC0) != 0x80)  # where characters start
         edge = np.concatenate([at, [len(self.raw)]])
         grams = (self.sums.hashes(at[:-3], edge[4:]) >> np.uint64(64 - BITS)).astype(np.int64) if len(at) > 3 else np.zeros(0, np.int64)
-        first = np.searchsorted(at, self.offsets[:-1])
+        first = np.minimum(np.searchsorted(at, self.offsets[:-1]), len(grams))
         last = np.maximum(first, np.searchsorted(at, self.offsets[1:]) - 4)  # without the space at the end
         return grams, first, last
 

@@ -95,3 +95,10 @@ def test_empty_and_columns(spark, odd):
     assert quality.score(odd.limit(0), None).count() == 0
     kept = quality.filtered(odd, None)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} <= {8, 9, 10, 11}
+
+
+def test_short_texts_at_the_end_of_a_batch():
+    model = quality.Model(np.ones(2 * quality.SIZE, np.int32), 0.0, 1.0, 0.0)
+    for texts in ([""], ["abc"], ["a b c d", ""], ["abcd", "é"], ["abcde", "", None, "xy"]):
+        got = quality.measure(*C.utf8(pa.array(texts)), model, quality.Rules())
+        assert all(abs(p - plain_probability(t or "", model)) < 1e-12 for p, t in zip(got[-2], texts, strict=True))
