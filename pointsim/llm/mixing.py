@@ -42,15 +42,15 @@ def sizes(docs: DataFrame, rules: Rules) -> DataFrame:
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), C.hash60(key, F.lit(":" + rules.seed)).alias("hash"))
 
 
-def targets(own: DataFrame, rules: Rules) -> DataFrame:
+def targets(own: DataFrame, rules: Rules, held: C.Scratch) -> DataFrame:
     """Per source: source_size and target. Sources may be as many as they like: ranges of them are summed up, and sums of ranges."""
     number = F.element_at(F.array(*map(F.lit, rules.weights)), (F.col("__rank") % len(rules.weights) + 1).cast("int"))
     source = own.groupBy("source").agg(F.sum("size").alias("source_size"))
-    source = C.summed_before(source, [F.asc_nulls_last("source")], {"__rank": F.lit(1)}, "ranks")
+    source = C.summed_before(source, [F.asc_nulls_last("source")], {"__rank": F.lit(1)}, "ranks", held.put)
     source = source.withColumn("__weight", number.cast("double")).withColumn("__cap", F.col("source_size") * F.lit(rules.most))
     source = source.withColumn("__ratio", F.col("__cap") / F.col("__weight"))
     # in order of cap per weight, sources are capped until the level that the rest of the budget gives is below their own
-    source = C.summed_before(source, [F.asc("__ratio"), F.asc("__rank")], {"__caps": F.col("__cap"), "__weights": F.col("__weight")}, "levels")
+    source = C.summed_before(source, [F.asc("__ratio"), F.asc("__rank")], {"__caps": F.col("__cap"), "__weights": F.col("__weight")}, "levels", held.put)
     whole = source.agg(F.sum("source_size").alias("size"), F.sum("__weight").alias("weight"))
     level = (F.col("size") * F.lit(rules.share) - F.col("__caps")) / (F.col("weight") - F.col("__weights"))
     source = source.join(F.broadcast(whole)).withColumn("__level", level)  # one row
@@ -59,11 +59,11 @@ def targets(own: DataFrame, rules: Rules) -> DataFrame:
     return source.join(F.broadcast(line)).select("source", "source_size", F.greatest(target, F.lit(0.0)).alias("target"))
 
 
-def thresholds(units: DataFrame, source: DataFrame, rules: Rules) -> DataFrame:
+def thresholds(units: DataFrame, source: DataFrame, rules: Rules, held: C.Scratch) -> DataFrame:
     """Per source: source_size, target, whole (times that all is taken), threshold, and the top-up hashes p0, p1, ..."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     state = source.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
-    state = C.materialize(state.select(F.col("source").alias("__source"), "source_size", "target", "whole", "left", F.lit(0).cast("bigint").alias("prefix"), F.lit(False).alias("ended")), "mix")
+    state = held.put(state.select(F.col("source").alias("__source"), "source_size", "target", "whole", "left", F.lit(0).cast("bigint").alias("prefix"), F.lit(False).alias("ended")), "mix")
     same = F.col("source").eqNullSafe(F.col("__source"))
     names = ["__source", "source_size", "target", "whole"]
     for shift in range(BITS - STEP, -1, -STEP):
@@ -84,7 +84,7 @@ def thresholds(units: DataFrame, source: DataFrame, rules: Rules) -> DataFrame:
             F.when(F.col("ended"), F.col("prefix")).when(end.isNotNull(), end).otherwise(F.col("edge.bucket")).alias("prefix"),
             (F.col("ended") | end.isNotNull()).alias("ended"),
         )
-        state = C.materialize(fresh, "mix")
+        state = held.put(fresh, "mix")
         if state.where("not ended").isEmpty():
             break
     state = state.withColumnRenamed("prefix", "threshold").drop("ended")
@@ -96,10 +96,17 @@ def thresholds(units: DataFrame, source: DataFrame, rules: Rules) -> DataFrame:
         pick = free.groupBy("source").agg(F.max(F.struct("unit", (-F.col("hash")).alias("hash"))).alias("pick")).withColumnRenamed("source", "__s")
         state = state.join(pick, F.col("__s").eqNullSafe(F.col("__source")), "left").drop("__s")
         state = state.withColumn(f"p{k}", -F.col("pick.hash")).withColumn("left", F.col("left") - F.coalesce("pick.unit", F.lit(0))).drop("pick")
-        state = C.materialize(state, "mix")
+        state = held.put(state, "mix")
     return state
 
 
+def decided(own: DataFrame, rules: Rules) -> DataFrame:
+    """own: a table of ``sizes``. Per source what ``thresholds`` gives; the tables that led to it are removed."""
+    with C.Scratch(own.sparkSession) as held:
+        units = held.put(own.groupBy("source", "hash").agg(F.sum("size").alias("unit")), "units")
+        return C.materialize(thresholds(units, held.put(targets(own, rules, held), "targets"), rules, held), "thresholds")
+
+
 def taken_times(rules: Rules) -> Column:
     """How often a document is taken, where its row has its source's thresholds."""
     extra = F.col("hash") < F.col("threshold")
@@ -111,17 +118,15 @@ def taken_times(rules: Rules) -> Column:
 def plan(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Per row of docs: doc_id, source, size, hash, source_size, target, times, taken."""
     own = C.materialize(sizes(docs, rules), "sizes")
-    units = own.groupBy("source", "hash").agg(F.sum("size").alias("unit"))
-    state = thresholds(C.materialize(units, "units"), C.materialize(targets(own, rules), "targets"), rules)
+    state = decided(own, rules)
     rows = own.join(state, F.col("source").eqNullSafe(F.col("__source")))
     return rows.select("doc_id", "source", "size", "hash", "source_size", "target", taken_times(rules).alias("times")).withColumn("taken", F.col("size") * F.col("times"))
 
 
 def mixed(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken, with all their columns."""
-    own = C.materialize(sizes(docs, rules), "sizes")
-    units = own.groupBy("source", "hash").agg(F.sum("size").alias("unit"))
-    state = thresholds(C.materialize(units, "units"), C.materialize(targets(own, rules), "targets"), rules)
+    with C.Scratch(docs.sparkSession) as held:
+        state = decided(held.put(sizes(docs, rules), "sizes"), rules)
     state = state.select(F.col("__source"), "whole", "threshold", *(f"p{k}" for k in range(rules.top_ups)))
     key = F.coalesce(F.col("doc_id").cast("string"), "text", F.lit(""))
     rows = docs.select(F.struct(*docs.columns).alias("__row"), "source", C.hash60(key, F.lit(":" + rules.seed)).alias("hash"))

@@ -39,3 +39,24 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_run_on_odd_tables(spark, odd, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns; then empty tables."""
+    from pyspark.sql import functions as F
+
+    names = "kept hash nid node family times __times file place start".split()
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    long = " ".join(f"word{k} of it" for k in range(60_000))
+    more = spark.createDataFrame([(10**6, long, "en", "s", 0), (None, None, None, None, None), (None, "some words without any id to go by here, more than ten", "en", None, 3)], base.schema)
+    docs = base.union(base.limit(30)).union(more).union(odd.select(base.columns)).select("*", *(F.lit(f"own {n}").alias(n) for n in names))
+    for where, df in (("a", docs), ("b", docs.limit(0))):
+        df.write.parquet(str(tmp_path / where / "documents.parquet"))
+        for table in ("labels", "benchmark"):
+            own = spark.read.parquet(f"{SF}/{table}.parquet")
+            (own if where == "a" else own.limit(0)).write.parquet(str(tmp_path / where / f"{table}.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path / "a")).collect()
+    assert rows and max(Counter(r.doc_id for r in rows if r.doc_id is not None).values()) <= 2
+    starts = sorted((r.start, r.n_tokens) for r in rows)
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
