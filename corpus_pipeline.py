@@ -1,7 +1,12 @@
 """From documents to token files: quality rules, near duplicates, decontamination, mixing, token ids.
 
 Each stage works on all that the stage before kept; its result is written as Parquet in the folder that the
-cluster shares, and read again as the next one's documents.
+cluster shares, and read again as the next one's documents. ``run`` removes these tables at the end: the result reads token files' rows.
+
+Defined results are those of the stages: texts without words don't pass the quality rules, so that null and empty texts end there;
+rows without doc_id go through by their texts, and come first in the files; of rows of one doc_id one is left after the second stage; texts
+of any length pass whole; an empty table of documents gives no rows, an empty benchmark takes nothing away, and without labels the base
+rules decide alone. Extra columns, whatever their names, are passed on to the last stage.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pointsim.llm import decontaminate, mixing, near, quality, token_files
-from pointsim.llm.common import materialize
+from pointsim.llm.common import Scratch
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark) as held:
+        for name, stage in STAGES[:-1]:
+            docs = held.put(stage(spark, docs, sf_dir), f"stage-{name}")
+        return STAGES[-1][1](spark, docs, sf_dir)
