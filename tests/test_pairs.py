@@ -10,8 +10,11 @@ COPIES = 40
 #: Over this table, of 40,000 points; pairs of clouds that meet are more than 300,000, those of points some millions.
 MOST = 500_000
 NAMES = [
-    "igi_knn_top5",
-]
+    "igi_knn_top5", "igi_votes", "igi_knn_top1_mode", "igi_recall", "succinct_knn_top5", "succinct_knn_literal", "succinct_recall",
+    "set_inner_product", "set_knn_angular", "set_knn_hamming", "set_knn_jaccard", "set_near_dup_count", "set_near_dup_hamming", "set_knn_dice", "set_recall",
+    "box_support", "box_support_eps",
+    "cell_knn_l2", "cell_knn_metric", "igirtree_knn_top5", "igivpt_knn_top5",
+]
 
 
 @pytest.fixture(scope="module")
