@@ -129,3 +129,22 @@ def test_nearly_all_points_in_one_place(cloud):
     table = cloud(points)
     side = knn._side(knn._index(table, 2), knn._plane, 10_000.0, 16.0)
     assert max(r["count"] for r in table.groupBy(F.floor(F.col("x") / side), F.floor(F.col("y") / side)).count().collect()) < 100
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_pairs_are_ranked_where_they_meet(spark, cloud, monkeypatch, hot):
+    """More query points than indexed ones: their pairs leave the task of their cell only if a cell has too many."""
+    if hot:
+        monkeypatch.setattr(knn, "HOT_ROWS", 0)
+    plans, nearest = [], knn._nearest
+
+    def watched(pairs, by, k):
+        plans.append(nearest(pairs, by, k)._jdf.queryExecution().executedPlan().toString())
+        return nearest(pairs, by, k)
+
+    monkeypatch.setattr(knn, "_nearest", watched)
+    points, queries = spread(60, 5), [*spread(300, 6), (1, 0.0, 0.0), (1, 10000.0, 10000.0)]
+    monkeypatch.setattr(knn, "TASK_ROWS", 50)
+    got = found(knn.point_knn(cloud(points), cloud(queries, "query_id"), 3))
+    assert got == brute(points, queries, 3, "l2")
+    assert ("hashpartitioning(query_id" in plans[0]) == hot
