@@ -296,17 +296,17 @@ def streaming_postings(spark, sf):
 
 # ---------------------------------------------------------------- neighbours
 def _neighbour_rows(found: DataFrame) -> DataFrame:
-    return found.groupBy("query_id", "qx", "qy", "cloud_id", "distance").agg(F.sum("taken").alias("taken"))
+    return found.drop("weight")
 
 
 @query(_neighbours(3, "l2", GRID) + " " + _NEIGHBOUR_ROWS)
 def cell_knn_l2(spark, sf):
-    return _neighbour_rows(knn.cell_knn(ev(spark, sf), far(spark, sf), GRID, 3))
+    return _neighbour_rows(knn.cell_knn(ev(spark, sf), far(spark, sf), GRID, 3, merged=True))
 
 
 @query(_neighbours(3, "plain", GRID) + " " + _NEIGHBOUR_ROWS)
 def cell_knn_metric(spark, sf):
-    return _neighbour_rows(knn.cell_knn(ev(spark, sf), far(spark, sf), GRID, 3, l2))
+    return _neighbour_rows(knn.cell_knn(ev(spark, sf), far(spark, sf), GRID, 3, l2, merged=True))
 
 
 @query(f"{_neighbours(3, 'l2', GRID)}, {_top(5)} SELECT * FROM ranked")
@@ -321,12 +321,12 @@ def igivpt_knn_top5(spark, sf):
 
 @query(_neighbours(3, "l2") + " " + _NEIGHBOUR_ROWS)
 def point_knn_l2(spark, sf):
-    return _neighbour_rows(knn.point_knn(ev(spark, sf), far(spark, sf), 3))
+    return _neighbour_rows(knn.point_knn(ev(spark, sf), far(spark, sf), 3, merged=True))
 
 
 @query(_neighbours(3, "floor_l2") + " " + _NEIGHBOUR_ROWS)
 def point_knn_floor_l2(spark, sf):
-    return _neighbour_rows(knn.point_knn(ev(spark, sf), far(spark, sf), 3, "floor_l2"))
+    return _neighbour_rows(knn.point_knn(ev(spark, sf), far(spark, sf), 3, "floor_l2", merged=True))
 
 
 @query(f"{_neighbours(3, 'l2')}, {_top(5)} SELECT * FROM ranked")
@@ -374,7 +374,7 @@ def bkt_knn_custom(spark, sf):
 
 @query(_neighbours(3, "l2") + " " + _NEIGHBOUR_ROWS)
 def point_knn_clusters(spark, sf):
-    return _neighbour_rows(knn.point_knn(ev(spark, sf), far(spark, sf), 3, strategy="clusters"))
+    return _neighbour_rows(knn.point_knn(ev(spark, sf), far(spark, sf), 3, strategy="clusters", merged=True))
 
 
 @query(f"{_neighbours(1, 'l2')}, {_top(10)} {_recall()}")

@@ -148,3 +148,23 @@ def test_pairs_are_ranked_where_they_meet(spark, cloud, monkeypatch, hot):
     got = found(knn.point_knn(cloud(points), cloud(queries, "query_id"), 3))
     assert got == brute(points, queries, 3, "l2")
     assert ("hashpartitioning(query_id" in plans[0]) == hot
+
+
+@pytest.mark.parametrize("many", [False, True])
+@pytest.mark.parametrize("strategy", ["grid", "vantage", "clusters", "cell", "cell l1"])
+def test_merged_rows(cloud, strategy, many):
+    """Repeated query points, and points of a cloud at one distance, with more and with fewer query points than indexed ones."""
+    points = [(1, 5.0, 5.0), (1, 7.0, 5.0), (1, 6.0, 4.0), (2, 6.0, 6.0), *spread(40, 9)]
+    queries = [(3, 6.0, 5.0)] * 3 + [(4, 6.0, 5.0), (4, 55.0, 60.0)] + spread(120 if many else 5, 10)
+    a, b, grid = cloud(points), cloud(queries, "query_id"), GridParams(10_000, 100)
+    if strategy.startswith("cell"):
+        rows, merged = (knn.cell_knn(a, b, grid, 4, METRICS["l1"][0] if "l1" in strategy else l2, m) for m in (False, True))
+    else:
+        rows, merged = (knn.point_knn(a, b, 4, strategy=strategy, merged=m) for m in (False, True))
+    want, weights = Counter(), Counter((q, x, y) for q, x, y in queries)
+    for r in rows.collect():
+        want[r.query_id, r.qx, r.qy, r.weight, r.cloud_id, r.distance] += r.taken
+        assert r.weight == weights[r.query_id, r.qx, r.qy]
+    got = [tuple(r) for r in merged.collect()]
+    assert sorted(got) == sorted((*key, n) for key, n in want.items()) and max(r[-1] for r in got) > 1
+    assert merged.columns == [*knn.QUERY, *knn.MERGED]
