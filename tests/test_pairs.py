@@ -1,9 +1,11 @@
 """Queries over pairs on copies of a table: the same rows as their SQL, and no shuffle that grows with the pairs."""
 
+import time
+
 import duckdb
 import pytest
 
-from pointsim import queries
+from pointsim import queries, storage
 from pointsim.operators import intersect, pairs, postings, voting
 from pointsim.params import GridParams
 
@@ -66,6 +68,37 @@ def test_cells_points_are_shuffled_once(spark, copies, name, most):
     assert shuffled(spark) - before < most
 
 
+@pytest.mark.parametrize("name,most", [("box_support", 60_000)])
+def test_rows_are_shuffled_once(spark, copies, name, most):
+    """Of 40,000 points on either side. Box pairs name clouds by sums made before the shuffle; sets need the distinct cells first."""
+    before = shuffled(spark)
+    queries.QUERIES[name](spark, copies).write.format("noop").mode("overwrite").save()
+    assert shuffled(spark) - before < most
+
+
+def test_shuffles_of_tables_are_removed(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for i in range(found.size()) if (f := found.apply(i).getName()).startswith("shuffle_")}
+
+    before, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_before = spark.conf.get(key)
+    table = storage.materialize_tidily(spark.range(1000).repartition(3, "id"), "tidy")
+    ends = time.time() + 20
+    while files() - before and time.time() < ends:
+        time.sleep(0.1)
+    assert not files() - before and table.count() == 1000 and spark.conf.get(key) == set_before
+
+
+def test_clouds_with_equal_numbers_of_other_points(spark):
+    """Repeated points don't cancel out in a class's name."""
+    rows = [(1, 1.0), (1, 1.0), (1, 5.0), (2, 9.0), (2, 9.0), (2, 5.0), (3, 1.0), (3, 5.0), (3, 1.0)]
+    points = spark.createDataFrame([(i, x, 1.0) for i, x in rows], "cloud_id long, x double, y double")
+    asked = spark.createDataFrame([(7, 1.0, 1.0), (8, 5.0, 1.0)], "query_id long, x double, y double")
+    support = {tuple(r) for r in intersect.box_support(points, asked, 2).collect()}
+    assert support == {(7, 1, 2, 3, 2 / 3), (7, 3, 2, 3, 2 / 3), (8, 1, 1, 3, 1 / 3), (8, 2, 1, 3, 1 / 3), (8, 3, 1, 3, 1 / 3)}
+
+
 @pytest.mark.parametrize("name,most", [("igi_votes", 0.23), ("set_inner_product", 0.23), ("box_support", 0.32)])
 def test_pairs_of_copies_take_little_room(spark, copies, tmp_path, name, most):
     """All rows of the SQL are written, but a class's clouds always in the same order. most: bytes a row."""
