@@ -68,7 +68,7 @@ def test_cells_points_are_shuffled_once(spark, copies, name, most):
     assert shuffled(spark) - before < most
 
 
-@pytest.mark.parametrize("name,most", [("box_support", 60_000)])
+@pytest.mark.parametrize("name,most", [("box_support", 60_000), ("set_inner_product", 100_000)])
 def test_rows_are_shuffled_once(spark, copies, name, most):
     """Of 40,000 points on either side. Box pairs name clouds by sums made before the shuffle; sets need the distinct cells first."""
     before = shuffled(spark)
