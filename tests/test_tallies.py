@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointsim import queries
-from pointsim.operators import pairs, postings, tallies, voting
+from pointsim.operators import cellsets, pairs, postings, tallies, voting
 from pointsim.params import GridParams
 
 COPIES = 40
@@ -16,6 +16,7 @@ COPIES = 40
 MOST = 200_000
 NAMES = [
     "igi_knn_top5", "igi_knn_top1_mode", "igi_recall", "succinct_knn_top5", "succinct_knn_literal", "succinct_recall",
+    "set_knn_angular", "set_knn_hamming", "set_knn_jaccard", "set_knn_dice", "set_recall", "set_near_dup_count", "set_near_dup_hamming",
 ]
 GRID = GridParams(100, 10)
 
@@ -107,3 +108,21 @@ def test_votes_against_brute_force(spark, monkeypatch, rows, at_once, few):
     counted = voting.top_voted(postings.bag_postings(table.where("cloud_id is not null"), GRID), query, GRID, 4)
     assert {(r[0], r[1], int(r[2]) - 100, r[3]) for r in named.collect()} == {tuple(r) for r in counted.collect()}
 
+
+@pytest.mark.parametrize("metric,disjoint", [("angular", "alike"), ("hamming", "smaller"), ("odd", "larger")])
+def test_sets_by_arrays_and_by_rows(spark, monkeypatch, metric, disjoint):
+    """Ranks and counts of near sets are the same where the metric can't be worked out beforehand."""
+    draw = random.Random(10)
+    ids = [None, -3, *range(12)]
+    points = [(i, draw.randrange(60) * 1.0, draw.randrange(60) * 1.0) for i in ids for _ in range(draw.randrange(1, 12))]
+    points += [(30, x, y) for i, x, y in points if i == 7]
+    asked = [(i, draw.randrange(80) * 1.0, draw.randrange(60) * 1.0) for i in ids[1:] for _ in range(draw.randrange(1, 12))]
+    table = spark.createDataFrame(points, "cloud_id long, x double, y double")
+    query = spark.createDataFrame(asked, "query_id long, x double, y double")
+    own = (lambda shared, a, b: F.when(shared > 0, F.lit(0.0)).otherwise(F.lit(100.0) - b)) if metric == "odd" else metric
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(pairs, "PACKED", 2)
+    rows = lambda: (sorted(tuple(r) for r in cellsets.set_knn(table.where("cloud_id is not null"), query, GRID, 5, own, disjoint).collect()), sorted(tuple(r) for r in cellsets.near_pairs(table, query, GRID, own, 1.3).collect()))
+    arrays = rows()
+    monkeypatch.setattr(cellsets, "MOST_CASES", 0)
+    assert rows() == arrays and len(arrays[0]) == 5 * 13 and len(arrays[1]) == 13
